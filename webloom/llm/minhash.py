@@ -7,7 +7,7 @@ band share a bucket.  At a Jaccard similarity of 0.8 a pair shares no bucket wit
 probability of (1 - 0.8**4)**24 = 3e-6.
 
 Equal shingle sets are first collapsed into a class with one representative.  Within a
-bucket no pairs are listed: members are compared with one leader, then with 4, 16, 64, ...
+bucket no pairs are listed: members are compared with one leader, then with 16, 256, ...
 further leaders, and only while the bucket's members are of more than one component, so
 each round is a plain equi-join and a bucket of near copies ends after the first.
 Links are confirmed on whole shingle sets (64-bit shingle hashes).
@@ -32,6 +32,8 @@ from .common import BLOCK_BYTES, U64, Words, blocks, buffers, materialise, mix,
 N_PERMUTATIONS = 48
 N_BANDS = 24
 PER_BAND = 4
+#: Leaders of a bucket in the second round; each further round takes this many times more.
+FURTHER = 16
 
 _rng = np.random.default_rng(97)
 _MUL = _rng.integers(1, 2**64, N_PERMUTATIONS, dtype=U64) | U64(1)
@@ -131,8 +133,7 @@ def components(links: DataFrame, tag: str = "cc") -> DataFrame:
     while True:
         near = edges.join(labels.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("comp").alias("near"))
         lower = labels.join(near.withColumnRenamed("u", "id"), "id", "left").select("id", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        lower = materialise(lower, f"{tag}-lower")
-        jump = lower.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
+        jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
         after = materialise(lower.join(jump, "comp", "left").select("id", "was", F.least("comp", "next").alias("comp")), f"{tag}-labels")
         labels = after.select("id", "comp")
         if after.filter(F.col("was") != F.col("comp")).isEmpty():
@@ -169,9 +170,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = [materialise(_verified(pairs, sets, percent), "links")]
     compared = [pairs]
 
-    k, rest = 4, members.select("bucket", "id").distinct()
+    comp, k, rest = components(linked[0]), FURTHER, members.select("bucket", "id").distinct()
     while True:
-        comp = components(reduce(DataFrame.union, linked))
         named = rest.join(comp, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
         mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") < F.col("hi")).select("bucket")
         open_ = materialise(named.join(mixed, "bucket"), "open")
@@ -182,9 +182,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = open_.join(leaders, "bucket").filter((F.col("b") < F.col("id")) & (F.col("comp") != F.col("comp_b"))).select(F.col("id").alias("a"), "b").distinct()
         found = materialise(found.join(reduce(DataFrame.union, compared), ["a", "b"], "left_anti"), "pairs")
         compared.append(found)
-        linked.append(materialise(_verified(found, sets, percent), "links"))
+        links = materialise(_verified(found, sets, percent), "links")
+        if not links.isEmpty():
+            linked.append(links)
+            comp = components(reduce(DataFrame.union, linked))
         rest = open_.select("bucket", "id").join(leaders.select("bucket", F.col("b").alias("id")), ["bucket", "id"], "left_anti")
-        k *= 4
+        k *= FURTHER
     tied = ties.join(member.select(F.col("id").alias("a"), F.col("rep").alias("other")), "a").filter(F.col("b") != F.col("other")).select("a", "b")
     if not tied.isEmpty():
         linked.append(tied)
