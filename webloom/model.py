@@ -20,7 +20,13 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if not (spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().isDefined()):
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="webloom-"))
-    return df.checkpoint()
+    # a checkpoint keeps its plan's constraints, which double with each round of a fixpoint
+    was = spark.conf.get("spark.sql.constraintPropagation.enabled")
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set("spark.sql.constraintPropagation.enabled", was)
 
 
 @dataclass

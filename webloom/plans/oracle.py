@@ -81,13 +81,13 @@ def _robust(strategy: str) -> str:
         "f(sc, fraction) AS (VALUES (0, 0.01::DOUBLE), (1, 0.02), (2, 0.05), (3, 0.1), (4, 0.2), (5, 0.3), (6, 0.5))",
         "sc AS (SELECT sc, fraction, floor(n * fraction)::BIGINT AS removed FROM f, n)",
         f"rk AS (SELECT id, row_number() OVER (ORDER BY {order}) AS r FROM deg)",
-        "v AS MATERIALIZED (SELECT sc, sc * 1000000000 + id AS id FROM rk, sc WHERE r > removed)",
-        "e AS MATERIALIZED (SELECT sc, sc * 1000000000 + src AS src, sc * 1000000000 + dst AS dst FROM e0, sc WHERE sc * 1000000000 + src IN (SELECT id FROM v) AND sc * 1000000000 + dst IN (SELECT id FROM v))",
+        "v AS MATERIALIZED (SELECT sc, sc * 1000000000000 + id AS id FROM rk, sc WHERE r > removed)",
+        "e AS MATERIALIZED (SELECT sc, sc * 1000000000000 + src AS src, sc * 1000000000000 + dst AS dst FROM e0, sc WHERE sc * 1000000000000 + src IN (SELECT id FROM v) AND sc * 1000000000000 + dst IN (SELECT id FROM v))",
         WCC, PAIRS, SCC,
-        "ws AS (SELECT id // 1000000000 AS sc, comp, count(*) AS size FROM w GROUP BY ALL)",
+        "ws AS (SELECT id // 1000000000000 AS sc, comp, count(*) AS size FROM w GROUP BY ALL)",
         "lw AS (SELECT sc, max(size) AS largest_wcc, arg_max(comp, (size, -comp)) AS comp FROM ws GROUP BY sc)",
-        "ls AS (SELECT sc, max(size) AS largest_scc FROM (SELECT id // 1000000000 AS sc, comp, count(*) AS size FROM scc GROUP BY ALL) GROUP BY sc)",
-        "bv AS (SELECT s // 1000000000 AS sc, s, avg(k) FILTER (k > 0) AS a, max(k) AS m FROM p WHERE s IN (SELECT id FROM w JOIN lw USING (comp)) GROUP BY ALL)",
+        "ls AS (SELECT sc, max(size) AS largest_scc FROM (SELECT id // 1000000000000 AS sc, comp, count(*) AS size FROM scc GROUP BY ALL) GROUP BY sc)",
+        "bv AS (SELECT s // 1000000000000 AS sc, s, avg(k) FILTER (k > 0) AS a, max(k) AS m FROM p WHERE s IN (SELECT id FROM w JOIN lw USING (comp)) GROUP BY ALL)",
         "far AS (SELECT sc, coalesce(avg(a), 0) AS avg_distance, max(m) AS diameter FROM bv GROUP BY sc)",
         "ad AS (SELECT v.sc, v.id, (SELECT count(*) FROM e WHERE dst = v.id) AS i, (SELECT count(*) FROM e WHERE src = v.id) AS o FROM v)",
         "dg AS (SELECT sc, avg(i) AS avg_in, max(i) AS max_in, avg(o) AS avg_out, max(o) AS max_out FROM ad GROUP BY sc)",
