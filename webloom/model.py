@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -15,18 +16,18 @@ CRAWL_SCHEMA = T.StructType([T.StructField("Url", T.StringType(), False), T.Stru
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Run df and cut its lineage, in the shared checkpoint folder (a temp folder of our own only where none is set)."""
+    """Run df and cut its lineage: a table in the shared checkpoint folder (a temp folder of our own only where none is set).
+
+    A table and not checkpoint(), which keeps plan properties that grow with each round of a fixpoint.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not (spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().isDefined()):
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="webloom-"))
-    # a checkpoint keeps its plan's constraints, which double with each round of a fixpoint
-    was = spark.conf.get("spark.sql.constraintPropagation.enabled")
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
-    try:
-        return df.checkpoint()
-    finally:
-        spark.conf.set("spark.sql.constraintPropagation.enabled", was)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("webloom.shared.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="webloom-")
+        spark.conf.set("webloom.shared.dir", root)
+    path = f"{root.rstrip('/')}/webloom-graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @dataclass
