@@ -7,9 +7,10 @@ band share a bucket.  At a Jaccard similarity of 0.8 a pair shares no bucket wit
 probability of (1 - 0.8**4)**24 = 3e-6.
 
 Equal shingle sets are first collapsed into a class with one representative.  Within a
-bucket no pairs are listed: members are compared with one leader, then with 16, 256, ...
-further leaders, and only while the bucket's members are of more than one component, so
-each round is a plain equi-join and a bucket of near copies ends after the first.
+bucket no pairs are listed: members are compared with the bucket's leader, the member whose buckets are the
+largest (of a group of near copies, one near its middle).  Members of buckets that hold several components
+after that are joined on the rare shingles that a similar enough pair must share (prefix and position
+filters, which lose no link), and only across components.
 Links are confirmed on whole shingle sets (64-bit shingle hashes).
 
 Nulls, ties and odd rows: null text, empty text and text without words have an empty set
@@ -32,8 +33,6 @@ from .common import BLOCK_BYTES, U64, Words, blocks, buffers, materialise, mix,
 N_PERMUTATIONS = 48
 N_BANDS = 24
 PER_BAND = 4
-#: Leaders of a bucket in the second round; each further round takes this many times more.
-FURTHER = 16
 
 _rng = np.random.default_rng(97)
 _MUL = _rng.integers(1, 2**64, N_PERMUTATIONS, dtype=U64) | U64(1)
@@ -149,6 +148,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _prefix_pairs(unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs(a, b) of unsettled(id, comp) in different components that may reach the similarity; none that does is left out.
+
+    Shingles are put in one order, rarest first.  Sets that are similar enough share a shingle among the first (100 - percent)
+    percent of each, and behind their first common one enough must be left in both.
+    """
+    rows = sets.join(unsettled, "id").select("id", "comp", F.xxhash64("shingles").alias("text"), F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    frequency = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    # rows of one id and one text share their ranks
+    ranked = rows.join(frequency, "shingle").withColumn("at", F.dense_rank().over(Window.partitionBy("id", "text").orderBy("df", "shingle")) - 1)
+    prefix = ranked.filter((F.col("df") > 1) & (F.col("at") * 100 <= F.col("n") * (100 - percent))).select("shingle", "id", "comp", "n", "at")
+    prefix = materialise(prefix, "prefix")
+    # a pair of two components has a side outside the shingle's most frequent one, so copies already linked never meet
+    usual = prefix.groupBy("shingle", "comp").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.max_by("comp", F.struct("m", "comp")).alias("usual"), F.count("*").alias("comps"))
+    several = materialise(prefix.join(usual.filter(F.col("comps") > 1), "shingle").drop("comps"), "prefix")
+    one = several.filter(F.col("comp") != F.col("usual")).select("shingle", *[F.col(c).alias(f"{c}_1") for c in ("id", "comp", "n", "at")])
+    n, n_1 = F.col("n"), F.col("n_1")
+    once = (F.col("comp") == F.col("usual")) | (F.col("id_1") < F.col("id"))
+    near = 100 * F.least(n, n_1) >= percent * F.greatest(n, n_1)
+    enough = (100 + percent) * F.least(n - F.col("at"), n_1 - F.col("at_1")) >= percent * (n + n_1)
+    met = several.alias("s").join(one, (F.col("s.shingle") == one.shingle) & (F.col("comp") != F.col("comp_1")) & once & near & enough)
+    return met.select(F.greatest("id", "id_1").alias("a"), F.least("id", "id_1").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: (doc_id, n_shingles, component_id, kept)."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -161,33 +184,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     reps = able.join(classes, ["k1", "k2"]).filter(F.col("id") == F.col("rep")).select("id", "bands")
     buckets = reps.select("id", F.explode("bands").alias("bucket"))
-    lead = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter(F.col("leader") < F.col("last")).select("bucket", "leader")
-    members = materialise(buckets.join(lead, "bucket"), "buckets").filter(F.col("id") != F.col("leader"))
-    pairs = materialise(members.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
+    members = materialise(buckets.join(shared, "bucket"), "buckets")
+    popular = members.groupBy("id").agg(F.sum("size").alias("weight"))
+    lead = members.join(popular, "id").groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("leader"))
+    pairs = members.join(lead, "bucket").filter(F.col("id") != F.col("leader")).select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b"))
+    pairs = materialise(pairs.distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = source.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<long>")
     sets = materialise(sets, "sets")
     linked = [materialise(_verified(pairs, sets, percent), "links")]
-    compared = [pairs]
-
-    comp, k, rest = components(linked[0]), FURTHER, members.select("bucket", "id").distinct()
-    while True:
-        named = rest.join(comp, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-        mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") < F.col("hi")).select("bucket")
-        open_ = materialise(named.join(mixed, "bucket"), "open")
-        if open_.isEmpty():
-            break
-        ranked = open_.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))).filter(F.col("rank") <= k)
-        leaders = materialise(ranked.select("bucket", F.col("id").alias("b"), F.col("comp").alias("comp_b")), "leaders")
-        found = open_.join(leaders, "bucket").filter((F.col("b") < F.col("id")) & (F.col("comp") != F.col("comp_b"))).select(F.col("id").alias("a"), "b").distinct()
-        found = materialise(found.join(reduce(DataFrame.union, compared), ["a", "b"], "left_anti"), "pairs")
-        compared.append(found)
-        links = materialise(_verified(found, sets, percent), "links")
-        if not links.isEmpty():
-            linked.append(links)
-            comp = components(reduce(DataFrame.union, linked))
-        rest = open_.select("bucket", "id").join(leaders.select("bucket", F.col("b").alias("id")), ["bucket", "id"], "left_anti")
-        k *= FURTHER
+    comp = components(linked[0])
+
+    named = members.select("bucket", "id").join(comp, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") < F.col("hi")).select("bucket")
+    unsettled = materialise(named.join(mixed, "bucket").select("id", "comp").distinct(), "unsettled")
+    found = materialise(_prefix_pairs(unsettled, sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    links = materialise(_verified(found, sets, percent), "links")
+    if not links.isEmpty():
+        linked.append(links)
+        comp = components(reduce(DataFrame.union, linked))
     tied = ties.join(member.select(F.col("id").alias("a"), F.col("rep").alias("other")), "a").filter(F.col("b") != F.col("other")).select("a", "b")
     if not tied.isEmpty():
         linked.append(tied)
