@@ -154,7 +154,9 @@ def _prefix_pairs(unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFr
     Shingles are put in one order, rarest first.  Sets that are similar enough share a shingle among the first (100 - percent)
     percent of each, and behind their first common one enough must be left in both.
     """
-    rows = sets.join(unsettled, "id").select("id", "comp", F.xxhash64("shingles").alias("text"), F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    # text and n are computed under the explode: once a set, not once a shingle
+    rows = sets.join(unsettled, "id").withColumn("text", F.xxhash64("shingles")).withColumn("n", F.size("shingles"))
+    rows = rows.select("id", "comp", "text", "n", F.explode("shingles").alias("shingle"))
     frequency = rows.groupBy("shingle").agg(F.count("*").alias("df"))
     # rows of one id and one text share their ranks
     ranked = rows.join(frequency, "shingle").withColumn("at", F.dense_rank().over(Window.partitionBy("id", "text").orderBy("df", "shingle")) - 1)
