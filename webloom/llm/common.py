@@ -8,6 +8,7 @@ word is a (start, end) pair of byte positions instead of a Python object.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -17,14 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+_libc = ctypes.CDLL(None)
 #: Raw text bytes handled at a time; a longer document is handled on its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 # --------------------------------------------------------------------------- Spark side
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    limit_arrow_batches(spark, "8m")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -101,6 +104,14 @@ def blocks(batch: pa.RecordBatch, name: str, size: int = BLOCK_BYTES):
         end = min(end, n)
         yield batch.slice(at, end - at)
         at = end
+    tidy()
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: workers are reused, stage after stage."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 # ------------------------------------------------------------------------------ tokeniser
