@@ -21,6 +21,8 @@ U64 = np.uint64
 _libc = ctypes.CDLL(None)
 #: Raw text bytes handled at a time; a longer document is handled on its own.
 BLOCK_BYTES = 1 << 19
+#: Bytes hashed at a time, which bounds the tables of powers that a worker keeps.
+HASH_BYTES = 1 << 16
 
 
 # --------------------------------------------------------------------------- Spark side
@@ -141,11 +143,11 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse modulo 2**64, for i below n."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = 1 << max(17, int(n - 1).bit_length())
         up, down = np.full(size, base, U64), np.full(size, pow(base, -1, 1 << 64), U64)
         up[0] = down[0] = 1
         have = np.cumprod(up), np.cumprod(down)
-        if size <= 4 * BLOCK_BYTES:
+        if size <= 2 * HASH_BYTES:
             _powers[base] = have
     return have
 
@@ -181,7 +183,7 @@ class Words:
         out, at, n = np.empty(len(self.starts), U64), 0, len(self.starts)
         while at < n:  # block by block, so that tables stay small for a very long text
             base = self.starts[at]
-            to = max(at + 1, int(np.searchsorted(self.ends, base + BLOCK_BYTES, side="right")))
+            to = max(at + 1, int(np.searchsorted(self.ends, base + HASH_BYTES, side="right")))
             part = self.data[base : self.ends[to - 1]]
             up, down = powers(int(_BASE[seed]), len(part) + 1)
             total = np.zeros(len(part) + 1, U64)

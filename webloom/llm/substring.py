@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, U64, Words, blocks, buffers, limit_arrow_batches, materialise, mix, powers, run_hashes, text_array
+from .common import SPACED, U64, Words, blocks, buffers, limit_arrow_batches, materialise, mix, run_hashes, text_array
 
 GRAM = 4
 CHUNK_BYTES = 2 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 NO_ID = np.iinfo(np.int64).max
 _Q = {11: 0xD1B54A32D192ED03, 12: 0x94D049BB133111EB}
 
@@ -162,10 +162,18 @@ def _send(id_col: str, text_col: str, window: int, n_buckets: int):
 
 
 def _window_hash(h: np.ndarray, at: np.ndarray, window: int, seed: int) -> np.ndarray:
-    up, down = powers(_Q[seed], len(h) + 1)
-    total = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[at + window] - total[at]) * down[at])
+    """Polynomial hash of the `window` word hashes from each of `at` on, put together from runs of doubling widths."""
+    if not len(at):
+        return np.zeros(0, U64)
+    run, width, out, have = h, 1, None, 0
+    while True:
+        if window & width:
+            out = run if out is None else run[: len(out) - width] * U64(pow(_Q[seed], have, 1 << 64)) + out[width:]
+            have += width
+        if 2 * width > window:
+            return mix(out[at])
+        run = run[: len(run) - width] * U64(pow(_Q[seed], width, 1 << 64)) + run[width:]
+        width *= 2
 
 
 def _smallest(words: Words, at: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
