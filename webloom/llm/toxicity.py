@@ -84,11 +84,12 @@ class Model:
                 use = tokens[np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
                 at = np.cumsum(n) - n
             # only the words in use, and their rows
-            known, place = np.unique(use, return_inverse=True)
+            known = np.flatnonzero(np.bincount(use, minlength=len(vocab)))
+            place = np.searchsorted(known, use)
             own = size[known]
             part = flat[np.repeat(begin[known], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)]
             words = np.add.reduceat(rows[part], np.cumsum(own) - own, axis=0) / own[:, None]
-            mean = np.add.reduceat(words[place], at, axis=0) / n[:, None]
+            mean = np.stack([np.add.reduceat(words[place, j], at) for j in range(DIM)], axis=1) / n[:, None]
             logits = mean @ out + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -124,8 +125,11 @@ class Model:
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
-        for w in set(tokens).difference(cache):
+        distinct = set(tokens)
+        for w in distinct.difference(cache):
             cache[w] = float(self.value[subwords(w)].mean())
+        if WINDOW == 1:
+            return max(map(cache.__getitem__, distinct)) + self.bias
         total = np.concatenate([[0.0], np.cumsum(np.array([cache[w] for w in tokens]))])
         k = min(WINDOW, len(tokens))
         return float((total[k:] - total[:-k]).max() / k + self.bias)
