@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from webloom.llm import langid, mixing, mtree, quality, toxicity, urlfilter, warc
 from webloom.llm.common import new_path
@@ -249,6 +250,22 @@ def test_toxicity_learns_subwords(spark):
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {2, *(i for i, p in got if i in (3, 4) and not p)}
 
 
+def test_toxicity_reads_long_runs_whole():
+    letters = [chr(0x4E00 + i) for i in range(1000)]
+    for n in (39, 40, 41, 42, 43, 78, 79, 80, 81, 82, 200, 1000):
+        run = "".join(letters[:n])
+        whole = f"<{run}>"
+        grams = {xxhash.xxh32_intdigest(whole[i : i + k]) % toxicity.N_ROWS for k in (3, 4, 5) for i in range(len(whole) - k + 1)}
+        assert grams <= {row for word in toxicity.words_of(run) for row in toxicity.subwords(word)}
+        assert max(map(len, toxicity.words_of(run))) <= toxicity.LONGEST + 2
+    bad, r = "".join(letters[300:340]), random.Random(2)
+    calm = lambda: "".join(r.choice(letters[:200]) for _ in range(150))
+    texts = [calm() for _ in range(120)]
+    model = toxicity.Model.fit([t + bad if i % 3 == 0 else t for i, t in enumerate(texts)], [int(i % 3 == 0) for i in range(120)])
+    clean = calm()
+    assert model.score(clean + bad + calm()) >= toxicity.THRESHOLD > model.score(clean)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
