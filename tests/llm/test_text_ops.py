@@ -176,6 +176,16 @@ def test_decontaminate(spark, monkeypatch):
     assert sorted((tuple(r) for r in decontaminate.judge(frame(spark, plain), table).collect()), key=str) == brute_hits(plain, items, 10)
 
 
+def test_decontaminate_blocks_judge_each_row(spark, monkeypatch):
+    hit = "a b c d e f g h i j"
+    rows = [(5, hit), (5, "k l m n o p q r s t"), (5, "clean words of the same length as the others here"), (None, hit), (None, "ten clean words without any id stand in this row"), (None, hit), (8, None), (8, None)]
+    items = [(1, hit), (2, "k l m n o p q r s t"), (3, "a b c d e f g h i j u v w x")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "MAX_WINDOWS", 1)
+    assert len(decontaminate.matches(frame(spark, rows), table)) > 2
+    assert sorted((tuple(r) for r in decontaminate.judge(frame(spark, rows), table).collect()), key=str) == brute_hits(rows, items, 10)
+
+
 def test_decontaminate_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[:4] for r in decontaminate.judge(frame(spark, [(1, "a b")]), none).collect()] == [(1, 2, 0, 0)]

@@ -11,7 +11,8 @@ further term's moved list is intersected with them, so that what is left are exa
 windows end at the first lookup.  `proximity` uses the same lists with a tolerance in place of equality.
 
 The test items are handed to the executors in blocks of at most MAX_WINDOWS windows, whose size is thereby bounded; more
-windows mean more passes over the index.
+windows mean more passes over the index.  With several blocks the documents are first written to the shared folder with a key for each row, and
+what the blocks find is put together by that key.
 
 Nulls, ties and odd rows: null or empty text has no words and no hits; items without words are ignored;
 repeated items with the same id count once; documents may repeat ids, each row is judged by itself; a null
@@ -21,6 +22,7 @@ doc_id stays null; a null item_id is written as "null".
 from __future__ import annotations
 
 import hashlib
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ from .common import ALNUM, Words, blocks, buffers, limit_arrow_batches, material
 WINDOW = 10
 MAX_WINDOWS = 200_000
 SEGMENT_BYTES = 4 << 20
+#: Name of the row key's column.
+ROW = "_decontaminate_row"
 
 
 def _words_of(text: str | None) -> list[str]:
@@ -51,12 +55,17 @@ def windows_of(items: list[tuple], width: int = WINDOW) -> list[tuple[str, tuple
     return list(out)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of its own for each row, written to the shared folder so that it stays the same in every pass."""
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed-docs")
+
+
 # ------------------------------------------------------------------------- the index
 
 
 def _index(terms: dict[bytes, int], gap: int):
-    """Segments: documents' ids and lengths, terms, counts of postings, and all positions one term after the other."""
-    schema = pa.schema([("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("positions", pa.binary())])
+    """Segments: documents' ids, row keys and lengths, terms, counts of postings, and all positions one term after the other."""
+    schema = pa.schema([("ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("positions", pa.binary())])
 
     def run(batches):
         get = terms.get
@@ -71,7 +80,7 @@ def _index(terms: dict[bytes, int], gap: int):
                 order = own[np.argsort(found[own], kind="stable")]
                 ids, counts = np.unique(found[own], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([w.counts.tolist()], pa.list_(pa.int64())), pa.array([ids.tolist()], pa.list_(pa.int32())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([place[order].astype(np.int64 if len(place) and place[-1] >= 2**31 else np.int32).tobytes()], pa.binary())],
+                    [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([part.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([w.counts.tolist()], pa.list_(pa.int64())), pa.array([ids.tolist()], pa.list_(pa.int32())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([place[order].astype(np.int64 if len(place) and place[-1] >= 2**31 else np.int32).tobytes()], pa.binary())],
                     schema=schema,
                 )
 
@@ -79,15 +88,16 @@ def _index(terms: dict[bytes, int], gap: int):
 
 
 def build_index(docs: DataFrame, terms: dict[str, int], gap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The segments of docs for these terms, written to the shared folder."""
+    """The segments of docs for these terms, written to the shared folder; row keys are null where docs has none."""
     limit_arrow_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    row = F.col(ROW) if ROW in docs.columns else F.lit(None)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), row.cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
     known = docs.sparkSession.sparkContext.broadcast({t.encode(): i for t, i in terms.items()})
 
     def run(batches):
         yield from _index(known.value, gap)(batches)
 
-    return materialise(source.mapInArrow(run, "ids array<long>, lengths array<long>, terms array<int>, counts array<long>, positions binary"), "index")
+    return materialise(source.mapInArrow(run, "ids array<long>, rows array<long>, lengths array<long>, terms array<int>, counts array<long>, positions binary"), "index")
 
 
 def term_counts(index: DataFrame) -> dict[int, int]:
@@ -97,8 +107,8 @@ def term_counts(index: DataFrame) -> dict[int, int]:
 
 
 class Segment:
-    def __init__(self, ids: list, lengths: list, terms: list, counts: list, positions: bytes, gap: int):
-        self.ids, self.lengths = ids, np.array(lengths, np.int64)
+    def __init__(self, ids: list, rows: list, lengths: list, terms: list, counts: list, positions: bytes, gap: int):
+        self.ids, self.rows, self.lengths = ids, rows, np.array(lengths, np.int64)
         at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         every = np.frombuffer(positions, np.int32 if len(positions) == 4 * at[-1] else np.int64)
         self.postings = {t: every[a:b] for t, a, b in zip(terms, at[:-1].tolist(), at[1:].tolist(), strict=True)}
@@ -145,12 +155,12 @@ class Segment:
 def _segments(batches, gap: int):
     for batch in batches:
         for row in range(batch.num_rows):
-            yield Segment(*[batch.column(i)[row].as_py() for i in range(5)], gap)
+            yield Segment(*[batch.column(i)[row].as_py() for i in range(6)], gap)
 
 
 def _search(parts: list, owners: list[list[str]], widths: list[int], gap: int, slop: int | None):
     """Per segment: each document's spans [start, end) and the items found in it."""
-    schema = pa.schema([("id", pa.int64()), ("seg", pa.string()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches):
         for segment in _segments(batches, gap):
@@ -166,7 +176,7 @@ def _search(parts: list, owners: list[list[str]], widths: list[int], gap: int, s
                 for d, s in zip(doc.tolist(), inside, strict=True):
                     spans[d] += (s, s + (width if slop is None else 1))
                     items[d].update(own)
-            yield pa.RecordBatch.from_arrays([pa.array(segment.ids, pa.int64()), pa.nulls(n, pa.string()), pa.array(segment.lengths), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(segment.ids, pa.int64()), pa.array(segment.rows, pa.int64()), pa.array(segment.lengths), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], schema=schema)
 
     return run
 
@@ -183,12 +193,16 @@ def _blocks_of_windows(items: DataFrame, item_id: str, item_text: str, width: in
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, slop: int | None = None) -> list[DataFrame]:
-    """For each block of windows, one row per document row: id, n_words, spans (start, end, start, end, ...), items.
+    """For each block of windows, one row per document row: id, row (its key; null with one block and no key in docs), n_words, spans (start, end, start, end, ...), items.
 
     slop None: exact phrases.  A number: every word of the window within that many words of its place.
     """
     gap, found = width + (slop or 0) + 1, []
-    for block in _blocks_of_windows(items, item_id, item_text, width):
+    windowed = _blocks_of_windows(items, item_id, item_text, width)
+    first = list(islice(windowed, 2))
+    if len(first) > 1 and ROW not in docs.columns:
+        docs = keyed(docs.select(id_col, text_col))
+    for block in chain(first, windowed):
         terms: dict[str, int] = {}
         owners: dict[tuple, list[str]] = {}
         for owner, window in block:
@@ -202,7 +216,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         def run(batches, plan=plan):
             yield from _search(*plan.value, gap, slop)(batches)
 
-        found.append(index.mapInArrow(run, "id long, seg string, n_words long, spans array<long>, items array<string>"))
+        found.append(index.mapInArrow(run, "id long, row long, n_words long, spans array<long>, items array<string>"))
     return found
 
 
@@ -216,12 +230,12 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int, **names) -> DataFram
 
 
 def _digest():
-    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string())])
+    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string())])
 
     def run(batches):
         for batch in batches:
             hit, n_items, sha = [], [], []
-            for spans, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for spans, items in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 total, end = 0, 0
                 for s, e in sorted(zip(spans[::2], spans[1::2], strict=True)):
                     total += max(0, e - max(s, end))
@@ -230,26 +244,28 @@ def _digest():
                 own = sorted(set(items))
                 n_items.append(len(own))
                 sha.append(hashlib.sha256(",".join(own).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha)], schema=schema)
 
     return run
 
 
-def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
-    """One row per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    With several blocks of windows, rows of a repeated id are joined by id and their spans united.
-    """
+def _judged(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
+    """judge() with the rows' keys, as `row`."""
     found = matches(docs, items, id_col=id_col, **names)
-    out = found[0].select("id", "n_words", "spans", "items")
+    out = found[0]
     if len(found) > 1:
         for x in found[1:]:
-            out = out.union(x.select("id", "n_words", "spans", "items"))
-        out = out.groupBy("id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    out = out.mapInArrow(_digest(), "id long, n_words long, n_hit long, n_items long, items_sha256 string")
+            out = out.union(x)
+        out = out.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    out = out.select("id", "row", "n_words", "spans", "items").mapInArrow(_digest(), "id long, row long, n_words long, n_hit long, n_items long, items_sha256 string")
     return out.withColumnRenamed("id", id_col).withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
+    """One row per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return _judged(docs, items, id_col, **names).drop("row")
+
+
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
     """The rows of docs that share no window with the items."""
     gone = judge(docs, items, id_col, **names).filter("contaminated").select(id_col)
