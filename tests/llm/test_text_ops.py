@@ -186,6 +186,17 @@ def test_decontaminate_blocks_judge_each_row(spark, monkeypatch):
     assert sorted((tuple(r) for r in decontaminate.judge(frame(spark, rows), table).collect()), key=str) == brute_hits(rows, items, 10)
 
 
+@pytest.mark.parametrize("most", [200_000, 1])
+def test_decontaminate_cleans_each_row(spark, monkeypatch, most):
+    hit = "a b c d e f g h i j"
+    rows = [(5, hit), (5, "clean"), (None, "x " + hit), (None, "clean too"), (None, None), (6, "k l")]
+    table = spark.createDataFrame([(1, hit), (2, "k l")], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "MAX_WINDOWS", most)
+    kept = decontaminate.clean(frame(spark, rows), table)
+    assert kept.columns == DOCS.names
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, "clean"), (None, "clean too"), (None, None)], key=str)
+
+
 def test_decontaminate_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[:4] for r in decontaminate.judge(frame(spark, [(1, "a b")]), none).collect()] == [(1, 2, 0, 0)]

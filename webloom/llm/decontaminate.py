@@ -267,9 +267,10 @@ def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **names) ->
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
-    """The rows of docs that share no window with the items."""
-    gone = judge(docs, items, id_col, **names).filter("contaminated").select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """The rows of docs that share no window with the items; each row goes or stays by itself, whatever its id."""
+    own = keyed(docs)
+    gone = _judged(own, items, id_col, **names).filter("contaminated").select(F.col("row").alias(ROW))
+    return own.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
