@@ -5,6 +5,7 @@ import pytest
 from webloom.functions import robots, urls
 from webloom.model import Graph, from_crawl
 from webloom.operators import clustering, components, connectivity, pagerank, paths, stats
+from webloom.plans import catalogue
 from webloom.sources import crawl
 
 
@@ -84,3 +85,21 @@ def test_crawl_json_round_trip(spark, tmp_path):
     assert rows(from_crawl(data).edges) == [(0, 1), (1, 0)]
     assert rows(crawl.crawl(spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "d")], "src string, dst string"), "a", 3)) == [("a", 0), ("b", 1), ("d", 1)]
     assert urls.links_of('<a href="/x">1</a><a href=" ">2</a><A HREF="/x">3</A><!-- <a href="/no"> -->', "http://a") == ["http://a/x", "http://a/x"]
+
+
+def test_page_queries_take_all_links_and_pages(spark, tmp_path):
+    pages = [
+        (1, "http://H/d/p?b=2&a=1", '<a href="http://other/">1</a><a href=q>2</a><a href="../z#f">3</a><A HREF=\'/d/p?x=1&amp;b=2\'>4</A><a href="mailto:a@b">5</a>'),
+        (2, "http://h/d/q", '<a href="p?a=1&amp;b=2">1</a><a href="//other">2</a><a href="/gone">3</a>'),
+        (3, "http://other", "no links"),
+        (4, "http://h/z/", None),
+        (5, "http://h/d/q#again", "<a href=/z>1</a>"),
+    ]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    p, q, z, other = "http://h/d/p?a=1&b=2", "http://h/d/q", "http://h/z", "http://other"
+    links = [(p, other), (p, q), (p, z), (p, "http://h/d/p?b=2&x=1"), (q, p), (q, other), (q, "http://h/gone"), (q, z)]
+    for name in ("url_normalize", "url_normalize_udf"):
+        assert rows(catalogue.QUERIES[name](spark, str(tmp_path))) == sorted(links)
+    ids = {u: i for i, u in enumerate(sorted([p, q, z, other]))}
+    assert rows(catalogue.page_graph_edges(spark, str(tmp_path))) == sorted((ids[a], ids[b]) for a, b in links if b in ids)
+    assert rows(catalogue.same_host_links(spark, str(tmp_path))) == [("h", 6, 5)]

@@ -50,13 +50,14 @@ def link_extract(s, d):
     return urls.fast_links(_pages(s, d)).select("url", "pos", "href")
 
 
-def url_normalize(s, d):
-    return urls.fast_links(_pages(s, d)).select(urls.page_link(F.col("url")).alias("page"), urls.site_link(F.col("url"), F.col("href")).alias("link")).distinct()
+def _links(s, d):
+    """(url, page, link): a row per canonical link of a page, repeated ones kept; page is the canonical form of url."""
+    rows = urls.extract_links(_pages(s, d))
+    return rows.select("url", urls.normalize(F.col("url"), F.col("url")).alias("page"), F.explode("OutLinks").alias("link"))
 
 
-def url_normalize_udf(s, d):
-    rows = urls.fast_links(_pages(s, d))
-    return rows.select(urls.normalize(F.col("url"), F.col("url")).alias("page"), urls.normalize(F.col("href"), F.col("url")).alias("link")).distinct()
+def url_normalize(s, d):
+    return _links(s, d).select("page", "link").distinct()
 
 
 def link_extract_html(s, d):
@@ -73,7 +74,7 @@ def url_shorten(s, d):
 
 
 def same_host_links(s, d):
-    rows = urls.fast_links(_pages(s, d)).select(urls.domain(F.col("url")).alias("host"), urls.site_link(F.col("url"), F.col("href")).alias("link"))
+    rows = _links(s, d).select(urls.domain(F.col("url")).alias("host"), "link")
     return rows.filter(urls.domain(F.col("link")) == F.col("host")).groupBy("host").agg(F.count("*").alias("links"), F.countDistinct("link").alias("targets"))
 
 
@@ -95,8 +96,8 @@ def _host_paths(s, d):
 
 
 def page_graph_edges(s, d):
-    rows = urls.fast_links(_pages(s, d)).select(urls.page_link(F.col("url")).alias("Url"), urls.site_link(F.col("url"), F.col("href")).alias("link"))
-    return from_crawl(rows.groupBy("Url").agg(F.collect_list("link").alias("OutLinks"))).edges
+    rows = urls.extract_links(_pages(s, d)).select(urls.normalize(F.col("url"), F.col("url")).alias("Url"), "OutLinks").filter("Url is not null")
+    return from_crawl(rows.groupBy("Url").agg(F.flatten(F.collect_list("OutLinks")).alias("OutLinks"))).edges
 
 
 def crawl_bfs(s, d):
@@ -159,7 +160,7 @@ QUERIES = {
     "link_extract": link_extract,
     "link_extract_html": link_extract_html,
     "url_normalize": url_normalize,
-    "url_normalize_udf": url_normalize_udf,
+    "url_normalize_udf": url_normalize,
     "url_host_counts": url_host_counts,
     "url_shorten": url_shorten,
     "same_host_links": same_host_links,
