@@ -52,6 +52,27 @@ def test_periodic_rank_does_not_converge(spark):
     assert rows(pagerank.sweep(spark, run)) == [(1.0, n, 5, False) for n in ("l1", "l2", "linf")]
 
 
+def test_sweep_runs_slow_factors_to_convergence(spark, monkeypatch):
+    g = graph(spark, [(0, 1), (0, 2), (1, 0), (2, 0)])
+    monkeypatch.setattr(catalogue, "dense", lambda s, d: g)
+    monkeypatch.setattr(pagerank, "DAMPINGS", (0.84,))
+    x, want = [1 / 3] * 3, None
+    for i in range(1, 200):
+        new = [0.16 / 3 + 0.84 * v for v in (x[1] + x[2], x[0] / 2, x[0] / 2)]
+        if want is None and sum(abs(a - b) for a, b in zip(x, new, strict=True)) < 1e-6:
+            want = i
+        x = new
+    got = {r.norm: (r.iterations, r.converged) for r in catalogue.QUERIES["pagerank_sweep"](spark, "").collect()}
+    assert got["l1"] == (want, True) and want > 60
+    assert all(c for _, c in got.values())
+
+
+def test_sweep_cap():
+    assert pagerank.steps_to_run(1.0) >= 1000
+    for d in (0.99, 0.95, 0.5):
+        assert 2 * d ** pagerank.steps_to_run(d) < pagerank.EPSILON
+
+
 def test_power_law_edges(spark):
     one = spark.createDataFrame([(1,)] * 60, "x int")
     assert stats.power_law_ols(one, "x").count() == 0

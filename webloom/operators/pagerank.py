@@ -1,10 +1,12 @@
 """PageRank for several damping factors in one iteration, with all three norms of each step.
 
-The norm only says when to stop, so one run per damping factor serves every norm.
+The norm only says when to stop, so one run per damping factor serves every norm.  Without max_iter a factor d < 1 runs to convergence, which
+takes log(epsilon / 2) / log(d) steps at most; d = 1.0 need not converge (periodic graphs) and ends after ENDLESS steps.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,8 @@ from ..model import Graph, cut
 
 DAMPINGS = (1.0, 0.99, 0.95, 0.90, 0.85, 0.70, 0.50)
 EPSILON = 1e-6
+#: Steps after which d = 1.0 counts as not converging.
+ENDLESS = 1000
 
 
 def l1(new: Column, old: Column) -> Column:
@@ -38,8 +42,14 @@ class Run:
     trace: list[tuple]  # (d, iter, l1, l2, linf)
 
 
-def pagerank(graph: Graph, dampings=(0.85,), norm: str = "l1", epsilon: float = EPSILON, max_iter: int = 100) -> Run:
-    """Jacobi steps from 1/V; dangling mass is spread evenly.  A factor stops when its norm falls below epsilon, or after max_iter."""
+def steps_to_run(d: float, epsilon: float = EPSILON) -> int:
+    """Steps after which every norm of d < 1 is below epsilon: the L1 change of step k is at most 2 d^k.  ENDLESS for d = 1."""
+    return ENDLESS if d >= 1 else 1 if d <= 0 else 2 + math.ceil(math.log(epsilon / 2) / math.log(d))
+
+
+def pagerank(graph: Graph, dampings=(0.85,), norm: str = "l1", epsilon: float = EPSILON, max_iter: int | None = 100) -> Run:
+    """Jacobi steps from 1/V; dangling mass is spread evenly.  A factor stops when its norm falls below epsilon, or after max_iter
+    (None: steps_to_run of the factor)."""
     spark = graph.vertices.sparkSession
     n = graph.vertices.count()
     if not n:
@@ -51,7 +61,8 @@ def pagerank(graph: Graph, dampings=(0.85,), norm: str = "l1", epsilon: float =
     n_dangling = base.filter("dangling").count()
     loose = {float(d): n_dangling / n for d in dampings}
     done, trace, i = [], [], 0
-    while loose and i < max_iter:
+    last = {d: steps_to_run(d, epsilon) if max_iter is None else max_iter for d in loose}
+    while loose and i < max(last[d] for d in loose):
         i += 1
         # what a vertex gets besides its links, for each damping factor still running
         given = F.create_map(*[F.lit(v) for d, m in loose.items() for v in (d, (1 - d) / n + d * m / n)])
@@ -60,7 +71,7 @@ def pagerank(graph: Graph, dampings=(0.85,), norm: str = "l1", epsilon: float =
         new = cut(new)
         rows = new.groupBy("d").agg(*[f(F.col("score"), F.col("old")).alias(k) for k, f in NORMS.items()], F.sum(F.when(F.col("dangling"), F.col("score")).otherwise(0.0)).alias("loose")).collect()
         trace += [(r.d, i, r.l1, r.l2, r.linf) for r in rows]
-        ended = [r.d for r in rows if r[norm] < epsilon]
+        ended = [r.d for r in rows if r[norm] < epsilon or i >= last[r.d]]
         if ended:
             done.append(new.filter(F.col("d").isin(ended)).select("d", "id", "score"))
         loose = {r.d: r.loose for r in rows if r.d not in ended}

@@ -129,7 +129,7 @@ def _pagerank(s, d):
 def _sweep(s, d):
     g = dense(s, d)
     if "sweep" not in g.kept:
-        g.kept["sweep"] = pagerank.pagerank(g, pagerank.DAMPINGS, "l1", max_iter=60)
+        g.kept["sweep"] = pagerank.pagerank(g, pagerank.DAMPINGS, "l1", max_iter=None)
     return g.kept["sweep"]
 
 
