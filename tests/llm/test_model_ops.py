@@ -185,6 +185,20 @@ def test_propagation_equals_power_iteration(spark):
         assert {h: pytest.approx(s) for h, s in score.items()} == {h: s for (k, h), s in got.items() if k == kind}
 
 
+def test_url_scores_converge_on_a_long_chain(spark):
+    n = 26
+    link = lambda i: f"http://h{i}/" if i % 2 else f"//h{i}/?u=http://x/"
+    pages = [(i, f"http://h{i}/p", f'<p><a href="{link(i + 1)}">x</a><a href="/own">y</a>') for i in range(n - 1)] + [(n - 1, f"http://h{n - 1}/p", "")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in urlfilter.judge(table, rules=[(f"h{n - 1}/", "block")]).collect()}
+    assert {r.verdict for r in got.values()} == {"block"} and len(got) == n
+    assert {i: r.distrust for i, r in got.items()} == {i: pytest.approx(0.15 * 0.85 ** (n - 1 - i)) for i in range(n)}
+    ring = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    seeds = spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, score double")
+    found = {x.host: x.score for x in urlfilter.propagate(ring, seeds).collect()}
+    assert found == {"a": pytest.approx(0.15 / (1 - 0.85**2), abs=1e-5), "b": pytest.approx(0.85 * 0.15 / (1 - 0.85**2), abs=1e-5)}
+
+
 def test_url_empty(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 

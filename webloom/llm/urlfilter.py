@@ -5,10 +5,11 @@ rule decides.  Urls without a rule are judged by their host.  A host is a truste
 its pages are allowed by rule, a blocked seed if more than half are blocked.  Trust spreads along links
 as a personalised PageRank that restarts at the trusted seeds; distrust spreads against the links
 from the blocked seeds, so that a host linking to blocked ones is distrusted.  Both run in the same
-iteration, as one table of (kind, host, score).  A host is blocked where its distrust exceeds `ratio` times its trust.
+iteration, as one table of (kind, host, score), until the L1 change of a round is below EPSILON for both and no host is newly
+reached; what scores still lack is then at most 0.85 / 0.15 times that.  A host is blocked where its distrust exceeds `ratio` times its trust.
 Mass that reaches a host without links in its direction ends there.
 
-Host edges are the distinct pairs (page's host, link's host) of absolute href links; links inside a host say nothing
+Host edges are the distinct pairs (page's host, link's host) of href links with a host, absolute (http://host/) or without the scheme (//host/); links inside a host say nothing
 about other hosts and are left out.
 
 Nulls, ties and odd rows: a null url or one without "://" has an empty host and path, no rule, and is allowed; null html has no
@@ -24,6 +25,8 @@ from .common import materialise
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: L1 change of a round below which scores have converged.
+EPSILON = 1e-6
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -47,25 +50,38 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Distinct (src, dst) of different hosts."""
-    links = F.explode(F.regexp_extract_all(F.col(html_col), F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']?(https?://[^"'\s>]*)"""), 1))
-    pairs = pages.select(host_of(F.col(url_col)).alias("src"), links.alias("link")).select("src", host_of(F.col("link")).alias("dst"))
+    links = F.explode(F.regexp_extract_all(F.col(html_col), F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']?((?:https?:)?//[^"'\s>]*)"""), 1))
+    pairs = pages.select(host_of(F.col(url_col)).alias("src"), links.alias("link")).select("src", host_of(F.regexp_replace("link", "^//", "http://")).alias("dst"))
     return pairs.filter((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != "")).distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 4) -> DataFrame:
-    """(kind, host, score) from edges (src, dst) and seeds (kind, host, score); kind "distrust" runs against the links."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, every: int = 4, epsilon: float = EPSILON) -> DataFrame:
+    """(kind, host, score) from edges (src, dst) and seeds (kind, host, score); kind "distrust" runs against the links.
+
+    rounds None: until both kinds have converged and no host is newly reached, looked at in every `every`th round.
+    """
     way = edges.select(F.lit("trust").alias("kind"), "src", "dst").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src")))
     degree = way.groupBy("kind", F.col("src").alias("host")).agg(F.count("*").alias("degree"))
     way = materialise(way.withColumnRenamed("src", "host").join(degree, ["kind", "host"]), "host-edges")
     restart = seeds.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
     if way.isEmpty():
         return restart
-    score = seeds
-    for i in range(1, rounds + 1):
+    score, i = seeds, 0
+    while i != rounds:
+        i += 1
         moved = way.join(score, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") / F.col("degree") * damping).alias("score"))
-        score = moved.union(restart).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if i % every == 0 or i == rounds:
-            score = materialise(score, "host-scores")
+        parts, old = moved.union(restart), F.lit(None).cast("double").alias("old")
+        if i % every and i != rounds:
+            score = parts.groupBy("kind", "host").agg(F.sum("score").alias("score"))
+            continue
+        # a host once reached is reached in every later round, so the old scores add no rows
+        both = parts.select("*", old).union(score.select("kind", "host", F.lit(0.0), F.col("score")))
+        both = materialise(both.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("old").alias("old")), "host-scores")
+        score = both.drop("old")
+        if rounds is None:
+            last = both.groupBy("kind").agg(F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0)))).alias("change"), F.count_if(F.col("old").isNull()).alias("new")).collect()
+            if all(r.change < epsilon and not r.new for r in last):
+                break
     return score
 
 
