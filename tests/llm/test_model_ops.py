@@ -60,6 +60,31 @@ def test_language_rows(spark):
     assert langid.identify(none, langid.train(none)).collect() == []
 
 
+def test_language_learns_every_language(spark):
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(1000 + i))
+    rows = [(4 * i + k, f"{name(i)}zu {name(i)}zo " * 3, f"l{i}") for i in range(230) for k in range(8)]
+    rows += [(9000 + k, "qxqx vyvy " * 2500, "long") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == sorted([f"l{i}" for i in range(230)] + ["long"])
+    assert all(model.predict(f"{name(i)}zu")[0] == f"l{i}" for i in range(230)) and model.predict("qxqx vyvy")[0] == "long"
+
+
+def test_language_keeps_small_vocabularies(monkeypatch):
+    big = " ".join("".join(random.Random(i).choices("abcdefghij", k=6)) for i in range(400))
+    rows = [("big", big)] * 9 + [("few", "klmno pqrst klmno pqrst")]
+    monkeypatch.setattr(langid, "MAX_WORDS", 100)
+    monkeypatch.setattr(langid, "LEAST_WORDS", 10)
+    model = langid.Model.fit(rows)
+    assert {"klmno", "pqrst"} <= set(model.words) and len(model.words) <= 52
+    held = [model.predict(t) for t in ("klmno", "klmnopq", big[:50], "a" * 70 + "klmnopqrst" * 30)]
+    assert [x[0] for x in held] == ["few", "few", "big", "few"]
+    monkeypatch.setattr(langid, "DENSE", 0)
+    sparse = langid.Model.fit(rows)
+    again = [sparse.predict(t) for t in ("klmno", "klmnopq", big[:50], "a" * 70 + "klmnopqrst" * 30)]
+    assert [x[0] for x in again] == [x[0] for x in held] and [x[1] for x in again] == pytest.approx([x[1] for x in held], abs=1e-5)
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.identify(docs, langid.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'").collect()

@@ -1,12 +1,14 @@
 """Language ID by word-first backoff.
 
-A known word is scored by its log frequency in each language.  An unknown word backs off to the
+A known word is scored by its log frequency in each language, relative to that in all languages together.  The latter also
+smooths each language's counts (PRIOR), so that what a language of few documents lacks is not held to be frequent in it.  An unknown word backs off to the
 longest character n-grams that are known: 5-grams first, then 4, 3, 2 and single letters, each position
-being covered by the longest known gram that starts there.  Word and gram tables are cut at a size bound, so the
-model that is broadcast stays within a few megabytes.
+being covered by the longest known gram that starts there, over the whole word.  Each language keeps its own most frequent words and
+grams: MAX_WORDS and MAX_GRAMS an order, shared out among the languages, but LEAST_WORDS and LEAST_GRAMS at least.
 
-The model is fitted on a bounded sample of the labelled training rows: about MAX_TRAIN documents (never more than twice
-as many) of each of the MAX_LANGUAGES most frequent languages, picked by a hash of the id, of texts of at most MAX_TRAIN_CHARS characters.  Prediction reads every whole text.
+The model is fitted on a bounded sample of the labelled training rows, of every language: about MAX_TRAIN documents each (MAX_ROWS shared out,
+but LEAST_TRAIN at least, where there are many languages; never more than twice as many over all), picked by a hash of the id among the texts of at most
+MAX_TRAIN_CHARS characters; of a language without such texts, the LONG_TRAIN shortest.  Prediction reads every whole text.
 
 Nulls, ties and odd rows: null text and text without letters is "und" with score 0; a null id is never a
 training row, and counts as not held out; equal scores go to the language that sorts first; rows with null lang aren't learned from; with nothing to
@@ -23,29 +25,71 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import crc_bucket, text_array
 
 MAX_TRAIN = 1500
 MAX_TRAIN_CHARS = 20_000
-MAX_LANGUAGES = 200
-MAX_WORDS = 30_000
-MAX_GRAMS = 60_000
+LONG_TRAIN = 10
+MAX_ROWS, LEAST_TRAIN = 300_000, 100
+MAX_WORDS, LEAST_WORDS = 120_000, 500
+MAX_GRAMS, LEAST_GRAMS = 48_000, 200
 LONGEST = 5
-CACHE = 200_000
+#: Words, or grams of a length, that every language is taken to have in the proportions of all languages together.
+PRIOR = 100
+#: Rows kept by a worker, and numbers in them; words of more letters aren't kept.
+CACHE, CACHE_CELLS, CACHE_LETTERS = 200_000, 20_000_000, 64
+#: Numbers of a table that is held with all its languages in each row.
+DENSE = 16_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def _top(counts: Counter, n: int) -> list[str]:
+    return [x for x, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:n]]
+
+
+class Table:
+    """Relative log frequencies by row and language.  Only the languages that have the row's word or gram are stored; others have the floor of
+    the row's kind (0 for words, else the gram's length)."""
+
+    def __init__(self, floors: np.ndarray, kinds: np.ndarray, begin: np.ndarray, langs: np.ndarray, values: np.ndarray):
+        self.floors, self.kinds, self.begin, self.langs, self.values = floors, kinds, begin, langs, values
+        self.dense = None
+        if len(kinds) * floors.shape[1] <= DENSE:
+            self.dense = floors[kinds]
+            self.dense[np.repeat(np.arange(len(kinds)), np.diff(begin)), langs] = values
+
+    def row(self, i: int) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense[i]
+        row, own = self.floors[self.kinds[i]].copy(), slice(self.begin[i], self.begin[i + 1])
+        row[self.langs[own]] = self.values[own]
+        return row
+
+    def mean(self, rows: list[int]) -> np.ndarray:
+        if self.dense is not None and len(rows) <= 64:
+            return self.dense[rows].mean(axis=0)
+        total = np.zeros(self.floors.shape[1])
+        for i, n in Counter(rows).items():
+            total += n * self.row(i)
+        return (total / len(rows)).astype(np.float32)
+
+
 class Model:
-    """Rows of `table` are log frequencies by language; `words` and `grams` name the rows."""
+    """`words` and `grams` name the rows of the table, whose arrays are `parts`."""
 
-    def __init__(self, languages: list[str], words: dict[str, int], grams: dict[str, int], table: np.ndarray):
-        self.languages, self.words, self.grams, self.table = languages, words, grams, table
+    def __init__(self, languages: list[str], words: dict[str, int], grams: dict[str, int], parts: tuple | None):
+        self.languages, self.words, self.grams, self.parts = languages, words, grams, parts
+        self.table = Table(*parts) if languages else None
         self.cache: dict[str, np.ndarray] = {}
+        self.most = min(CACHE, CACHE_CELLS // max(1, len(languages)))
 
     @classmethod
     def fit(cls, rows: list[tuple[str, str]]) -> Model:
         languages = sorted({lang for lang, _ in rows})
+        if not languages:
+            return cls([], {}, {}, None)
         words: dict[str, Counter] = {lang: Counter() for lang in languages}
         for lang, text in rows:
             words[lang].update(_LETTERS.findall(text.lower()))
@@ -56,31 +100,39 @@ class Model:
                 for k in range(1, LONGEST + 1):
                     for i in range(len(padded) - k + 1):
                         grams[lang][k - 1][padded[i : i + k]] += n
-        total = Counter()
-        for c in words.values():
-            total.update(c)
-        known = [w for w, n in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:MAX_WORDS] if n > 1]
-        sums = [Counter() for _ in range(LONGEST)]
-        for lang in languages:
-            for k in range(LONGEST):
-                sums[k].update(grams[lang][k])
-        parts = [g for k in range(LONGEST) for g, n in sorted(sums[k].items(), key=lambda x: (-x[1], x[0]))[: MAX_GRAMS // LONGEST] if n > 1]
-        table = np.empty((len(known) + len(parts), max(1, len(languages))), np.float32)
-        for j, lang in enumerate(languages):
-            n_words = sum(words[lang].values()) + 1
-            for i, w in enumerate(known):
-                table[i, j] = math.log((words[lang][w] + 0.1) / n_words)
-            n_grams = [sum(c.values()) + 1 for c in grams[lang]]
-            for i, g in enumerate(parts, len(known)):
-                table[i, j] = math.log((grams[lang][len(g) - 1][g] + 0.5) / n_grams[len(g) - 1])
-        return cls(languages, {w: i for i, w in enumerate(known)}, {g: i for i, g in enumerate(parts, len(known))}, table)
+        # kind 0 are the words, kind k the grams of k letters
+        kinds, names, floors = [], [], np.empty((LONGEST + 1, len(languages)), np.float32)
+        at, lang_of, values = [], [], []
+        for kind in range(LONGEST + 1):
+            own = [words[lang] if kind == 0 else grams[lang][kind - 1] for lang in languages]
+            most = max(LEAST_GRAMS, MAX_GRAMS // len(languages)) if kind else max(LEAST_WORDS, MAX_WORDS // len(languages))
+            total = Counter()
+            for c in own:
+                total.update(c)
+            known = {x: None for c in own for x in _top(c, most) if total[x] > 1}
+            place = {x: i for i, x in enumerate(known, len(kinds))}
+            kinds += [kind] * len(known)
+            names.append(place)
+            mass = sum(total.values())
+            for j, c in enumerate(own):
+                n = sum(c.values()) + PRIOR
+                floors[kind, j] = math.log(PRIOR / n)
+                found = [(place[x], math.log((m * mass / total[x] + PRIOR) / n)) for x, m in c.items() if x in place]
+                at.append(np.array([x[0] for x in found], np.int64))
+                values.append(np.array([x[1] for x in found], np.float32))
+                lang_of.append(np.full(len(found), j, np.int32))
+        at = np.concatenate(at)
+        order = np.argsort(at, kind="stable")
+        begin = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(kinds)))]).astype(np.int64)
+        parts = floors, np.array(kinds, np.int8), begin, np.concatenate(lang_of)[order], np.concatenate(values)[order]
+        return cls(languages, names[0], {g: i for place in names[1:] for g, i in place.items()}, parts)
 
     def word(self, word: str) -> np.ndarray:
-        """Log frequencies of a word; of an unknown one, the mean over its longest known grams."""
+        """Relative log frequencies of a word; of an unknown one, the mean over its longest known grams."""
         at = self.words.get(word)
         if at is not None:
-            return self.table[at]
-        padded, rows, i = f" {word} "[:64], [], 0
+            return self.table.row(at)
+        padded, rows, i = f" {word} ", [], 0
         while i < len(padded):
             for k in range(min(LONGEST, len(padded) - i), 0, -1):
                 row = self.grams.get(padded[i : i + k])
@@ -88,19 +140,21 @@ class Model:
                     rows.append(row)
                     break
             i += 1
-        return self.table[rows].mean(axis=0) if rows else np.zeros(self.table.shape[1], np.float32)
+        return self.table.mean(rows) if rows else np.zeros(len(self.languages), np.float32)
 
     def predict(self, text: str) -> tuple[str, float]:
         tokens = _LETTERS.findall(text.lower())
         if not tokens or not self.languages:
             return "und", 0.0
-        if len(self.cache) > CACHE:
+        if len(self.cache) > self.most:
             self.cache.clear()
-        total = np.zeros(self.table.shape[1])
+        total = np.zeros(len(self.languages))
         for word, n in Counter(tokens).items():
             row = self.cache.get(word)
             if row is None:
-                row = self.cache[word] = self.word(word)
+                row = self.word(word)
+                if len(word) <= CACHE_LETTERS:
+                    self.cache[word] = row
             total += n * row
         best = int(np.argmax(total))
         # a mean over words, so that the score says how clear the text is and not how long
@@ -110,19 +164,27 @@ class Model:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     rows = docs.filter((crc_bucket(id_col) != 2) & F.col(lang_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()}
+    short, spark = F.length(text_col) <= MAX_TRAIN_CHARS, docs.sparkSession
+    counts = {r[0]: r[1] for r in rows.filter(F.col(text_col).isNotNull()).groupBy(lang_col).agg(F.count_if(short)).collect()}
     if not counts:
-        return Model([], {}, {}, np.zeros((0, 1), np.float32))
+        return Model([], {}, {}, None)
+    most = max(LEAST_TRAIN, min(MAX_TRAIN, MAX_ROWS // len(counts)))
     # a document is picked where its id's hash is in its language's share, so no language is sorted
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, MAX_TRAIN / n))])
+    shares = spark.createDataFrame([(lang, min(1.0, most / n) if n else 0.0) for lang, n in counts.items()], "share_lang string, share double")
+    shared = rows.join(F.broadcast(shares), F.col(lang_col) == F.col("share_lang"))
     place = (F.xxhash64(id_col).cast("double") / F.lit(2.0**64)) + 0.5
-    sample = rows.filter((place <= share[F.col(lang_col)]) & (F.length(text_col) <= MAX_TRAIN_CHARS)).select(lang_col, text_col)
-    return Model.fit(sorted((r[0], r[1]) for r in sample.limit(2 * MAX_TRAIN * len(counts)).collect()))
+    sample = shared.filter((F.col("share") > 0) & short & (place <= F.col("share"))).select(lang_col, text_col)
+    found = [(r[0], r[1]) for r in sample.limit(2 * most * len(counts)).collect()]
+    if not all(counts.values()):
+        nth = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.length(text_col), F.xxhash64(id_col), text_col))
+        long = shared.filter((F.col("share") == 0) & F.col(text_col).isNotNull()).withColumn("nth", nth).filter(F.col("nth") <= LONG_TRAIN)
+        found += [(r[0], r[1]) for r in long.select(lang_col, text_col).collect()]
+    return Model.fit(sorted(found))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, held_out, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams, model.table))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams, model.parts))
 
     def run(batches):
         own = Model(*shared.value)
