@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -34,11 +35,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temp folder in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temp folder where all run on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("webloom.shared.dir", None)
         if not root:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir isn't set: executors of a cluster need a folder that all of them share")
             root = "file://" + tempfile.mkdtemp(prefix="webloom-")
             spark.conf.set("webloom.shared.dir", root)
             spark.sparkContext.setCheckpointDir(root)
@@ -159,19 +162,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
+def runs_of(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true values, none of which crosses from one text to the next."""
+    before, after = np.zeros_like(is_word), np.zeros_like(is_word)
+    before[1:] = is_word[:-1]
+    after[:-1] = is_word[1:]
+    before[offsets[:-1][offsets[:-1] < len(is_word)]] = False
+    after[offsets[1:][offsets[1:] > 0] - 1] = False
+    return np.flatnonzero(is_word & ~before), np.flatnonzero(is_word & ~after) + 1
+
+
+def span_hashes(values_of, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit polynomial hash of each span; values_of(a, b) gives a number for each position from a to b.  Spans are in order of their starts."""
+    out, at, n = np.empty(len(starts), U64), 0, len(starts)
+    while at < n:  # block by block, so that tables stay small for a very long text
+        begin = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, begin + HASH_BYTES, side="right")))
+        part = values_of(begin, ends[to - 1])
+        up, down = powers(base, len(part) + 1)
+        total = np.zeros(len(part) + 1, U64)
+        np.cumsum(part * up[: len(part)], out=total[1:])
+        s, e = starts[at:to] - begin, ends[at:to] - begin
+        out[at:to] = (total[e] - total[s]) * down[s]
+        at = to
+    return mix(out)
+
+
 class Words:
     """Words of some texts: bytes, word starts and ends, and each text's first word (n + 1)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACED, fold: bool = False):
         self.data = FOLD[data] if fold else data
-        is_word = table[self.data]
-        before, after = np.zeros_like(is_word), np.zeros_like(is_word)
-        before[1:] = is_word[:-1]
-        after[:-1] = is_word[1:]
-        before[offsets[:-1][offsets[:-1] < len(data)]] = False
-        after[offsets[1:][offsets[1:] > 0] - 1] = False
-        self.starts = np.flatnonzero(is_word & ~before)
-        self.ends = np.flatnonzero(is_word & ~after) + 1
+        self.starts, self.ends = runs_of(table[self.data], offsets)
         self.first = np.searchsorted(self.starts, offsets)
 
     @property
@@ -180,18 +202,7 @@ class Words:
 
     def hashes(self, seed: int = 11) -> np.ndarray:
         """A 64-bit hash of each word."""
-        out, at, n = np.empty(len(self.starts), U64), 0, len(self.starts)
-        while at < n:  # block by block, so that tables stay small for a very long text
-            base = self.starts[at]
-            to = max(at + 1, int(np.searchsorted(self.ends, base + HASH_BYTES, side="right")))
-            part = self.data[base : self.ends[to - 1]]
-            up, down = powers(int(_BASE[seed]), len(part) + 1)
-            total = np.zeros(len(part) + 1, U64)
-            np.cumsum(_BYTE[seed][part] * up[: len(part)], out=total[1:])
-            s, e = self.starts[at:to] - base, self.ends[at:to] - base
-            out[at:to] = (total[e] - total[s]) * down[s]
-            at = to
-        return mix(out)
+        return span_hashes(lambda a, b: _BYTE[seed][self.data[a:b]], self.starts, self.ends, int(_BASE[seed]))
 
     def texts_of(self) -> np.ndarray:
         """Each word's text number."""
