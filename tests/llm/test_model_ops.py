@@ -4,15 +4,17 @@ import hashlib
 import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-import xxhash
 
-from webloom.llm import langid, mixing, mtree, quality, toxicity, urlfilter, warc
+from webloom.llm import langid, letters, mixing, mtree, quality, toxicity, urlfilter, warc
 from webloom.llm.common import new_path
+from webloom.llm.letters import Letters
 
 
 # ------------------------------------------------------------------------------- WARC
@@ -62,12 +64,15 @@ def test_language_rows(spark):
 
 def test_language_learns_every_language(spark):
     name = lambda i: "".join(chr(97 + int(c)) for c in str(1000 + i))
-    rows = [(4 * i + k, f"{name(i)}zu {name(i)}zo " * 3, f"l{i}") for i in range(230) for k in range(8)]
-    rows += [(9000 + k, "qxqx vyvy " * 2500, "long") for k in range(12)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rows = [(4 * i + k, f"{name(i)}zu {name(i)}zo " * 3, f"l{i}", 1) for i in range(230) for k in range(8)]
+    rows += [(9000 + k, "qxqx vyvy " * 2500, "long", 1) for k in range(12)] + [(9100, None, "never", 1), (None, "no id", "never", 1), (9101, "no lang", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, number int")
     model = langid.train(docs)
     assert model.languages == sorted([f"l{i}" for i in range(230)] + ["long"])
     assert all(model.predict(f"{name(i)}zu")[0] == f"l{i}" for i in range(230)) and model.predict("qxqx vyvy")[0] == "long"
+    local = langid.Model.fit([(r[2], r[1]) for r in rows if r[0] is not None and r[1] and r[2] and zlib.crc32(str(r[0]).encode()) % 4 != 2])
+    texts = [f"{name(3)}zu {name(9)}zoq", "unseenword qxqv", "vyvy " * 9]
+    assert np.allclose(model.totals(texts)[0], local.totals(texts)[0])
 
 
 def test_language_keeps_small_vocabularies(monkeypatch):
@@ -76,13 +81,67 @@ def test_language_keeps_small_vocabularies(monkeypatch):
     monkeypatch.setattr(langid, "MAX_WORDS", 100)
     monkeypatch.setattr(langid, "LEAST_WORDS", 10)
     model = langid.Model.fit(rows)
-    assert {"klmno", "pqrst"} <= set(model.words) and len(model.words) <= 52
+    words = Letters(["klmno pqrst"])
+    assert (model.row_of(0, words.hashes) >= 0).all() and len(model.keys[0]) <= 52
     held = [model.predict(t) for t in ("klmno", "klmnopq", big[:50], "a" * 70 + "klmnopqrst" * 30)]
     assert [x[0] for x in held] == ["few", "few", "big", "few"]
-    monkeypatch.setattr(langid, "DENSE", 0)
-    sparse = langid.Model.fit(rows)
-    again = [sparse.predict(t) for t in ("klmno", "klmnopq", big[:50], "a" * 70 + "klmnopqrst" * 30)]
-    assert [x[0] for x in again] == [x[0] for x in held] and [x[1] for x in again] == pytest.approx([x[1] for x in held], abs=1e-5)
+    monkeypatch.setattr(langid, "CELLS", 600)
+    again = model.predict_all(["", "klmno " * 2000 + big, big])
+    assert again[0][0] == "und" and again[0][1:] == langid.Model(*model.parts()).predict_all(["klmno " * 2000 + big, big])[0]
+
+
+def spelled(text):
+    return [w for w in "".join(c if c.isalpha() else " " for c in text.lower()).split(" ") if w]
+
+
+def brute_language(rows):
+    """Scores of a text by the definition: strings, dictionaries and one word at a time."""
+    langs, counts = sorted({lang for lang, _ in rows}), [{} for _ in range(langid.LONGEST + 1)]
+    for lang, text in rows:
+        for w in spelled(text):
+            padded = f" {w} "
+            for kind, x in [(0, w)] + [(k, padded[i : i + k]) for k in range(1, langid.LONGEST + 1) for i in range(len(padded) - k + 1)]:
+                counts[kind].setdefault(x, Counter())[lang] += 1
+    own = [{lang: sum(c[lang] for c in table.values()) for lang in langs} for table in counts]
+    known = lambda k, x: sum(counts[k].get(x, Counter()).values()) > 1
+
+    def value(k, x, lang):
+        share = sum(own[k].values()) / sum(counts[k][x].values())
+        return math.log((counts[k][x][lang] * share + langid.PRIOR) / (own[k][lang] + langid.PRIOR))
+
+    def scores(text):
+        total = dict.fromkeys(langs, 0.0)
+        for w in spelled(text):
+            padded = f" {w} "
+            found = [(0, w)] if known(0, w) else [next(((k, padded[i : i + k]) for k in range(min(langid.LONGEST, len(padded) - i), 0, -1) if known(k, padded[i : i + k])), None) for i in range(len(padded))]
+            found = [x for x in found if x]
+            for lang in langs:
+                total[lang] += sum(value(k, x, lang) for k, x in found) / max(1, len(found))
+        return [total[lang] for lang in langs], len(spelled(text))
+
+    return scores
+
+
+def test_language_scores_by_definition():
+    r = random.Random(1)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(1, 9)))
+    vocabulary = {lang: [word(letters) for _ in range(60)] for lang, letters in (("x", "abcdeé"), ("y", "cdefgÜ"), ("z", "日本語abc"))}
+    rows = [(lang, " ".join(r.choice(v) for _ in range(40)) + " 12 _x") for lang, v in vocabulary.items() for _ in range(5)]
+    model, brute = langid.Model.fit(rows), brute_language(rows)
+    texts = [" ".join(r.choice(vocabulary[r.choice("xyz")]) if r.random() < 0.5 else word("abcdefgéÜ日本") for _ in range(r.choice([0, 1, 5, 50]))) for _ in range(60)] + ["q" * 500 + "abc", "a" * 62 + "b" * 3000, "²³ ", ""]
+    total, n = model.totals(texts)
+    for i, text in enumerate(texts):
+        want, words = brute(text)
+        assert words == n[i] and np.allclose(want, total[i], atol=1e-7)
+
+
+def test_long_texts_come_in_pieces(monkeypatch):
+    text = "abc defgh " * 50 + "x" * 90 + " ij"
+    whole = Letters([text, "k"])
+    monkeypatch.setattr(letters, "PIECE", 16)
+    parts = [Letters(t, n) for n, t in letters.blocks_of([text, "k"], 16)]
+    assert len(parts) > 20
+    assert np.concatenate([p.hashes for p in parts]).tolist() == whole.hashes.tolist() and np.concatenate([p.texts for p in parts]).tolist() == whole.texts.tolist()
 
 
 def test_language_held_out(spark):
@@ -289,22 +348,84 @@ def test_toxicity_learns_subwords(spark):
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {2, *(i for i, p in got if i in (3, 4) and not p)}
 
 
+def brute_pieces(word):
+    whole, size = f"<{word}>", toxicity.LONGEST + 2
+    if len(whole) <= size:
+        return [whole]
+    at, out = 0, []
+    while at + size < len(whole):
+        out.append(whole[at : at + size])
+        at += size - 4
+    return [*out, whole[-size:]]
+
+
 def test_toxicity_reads_long_runs_whole():
-    letters = [chr(0x4E00 + i) for i in range(1000)]
-    for n in (39, 40, 41, 42, 43, 78, 79, 80, 81, 82, 200, 1000):
-        run = "".join(letters[:n])
-        whole = f"<{run}>"
-        grams = {xxhash.xxh32_intdigest(whole[i : i + k]) % toxicity.N_ROWS for k in (3, 4, 5) for i in range(len(whole) - k + 1)}
-        assert grams <= {row for word in toxicity.words_of(run) for row in toxicity.subwords(word)}
-        assert max(map(len, toxicity.words_of(run))) <= toxicity.LONGEST + 2
-    bad, r = "".join(letters[300:340]), random.Random(2)
-    calm = lambda: "".join(r.choice(letters[:200]) for _ in range(150))
+    letters_ = [chr(0x4E00 + i) for i in range(1000)]
+    for n in (1, 39, 40, 41, 42, 43, 78, 79, 80, 81, 82, 200, 1000):
+        words = Letters(["".join(letters_[:n])])
+        word, first, rows = toxicity.subwords(words, np.array([0]))
+        want = brute_pieces("".join(letters_[:n]))
+        assert len(word) == len(want) == len(first) - 1
+        for piece, a, b in zip(want, first[:-1], first[1:], strict=True):
+            grams = [piece[i : i + k] for k in (3, 4, 5) for i in range(len(piece) - k + 1)]
+            points = [np.frombuffer(g.encode("utf-32-le"), np.uint32) for g in grams]
+            assert Counter(rows[a + 1 : b].tolist()) == Counter(int(letters.gram_hashes(p, len(p))[0]) % toxicity.N_ROWS for p in points)
+    bad, r = "".join(letters_[300:340]), random.Random(2)
+    calm = lambda: "".join(r.choice(letters_[:200]) for _ in range(150))
     texts = [calm() for _ in range(120)]
     model = toxicity.Model.fit([t + bad if i % 3 == 0 else t for i, t in enumerate(texts)], [int(i % 3 == 0) for i in range(120)])
     clean = calm()
     assert model.score(clean + bad + calm()) >= toxicity.THRESHOLD > model.score(clean)
 
 
+def test_toxicity_forward_and_gradients():
+    """Scores by the definition, word by word; gradients by differences."""
+    r = np.random.default_rng(3)
+    rows, attention, out, bias = r.normal(0, 1, (toxicity.N_ROWS, 3)), r.normal(0, 1, 3), r.normal(0, 1, (3, 2)), r.normal(0, 1, 2)
+    texts = ["one two two three", "Scum " + "x" * 100 + " one", "Ärger ärger", "one"]
+    sample = toxicity.Sample(texts)
+    y, weight = np.array([1.0, 0.0, 1.0, 0.0]), np.array([0.5, 0.2, 0.2, 0.1])
+
+    def forward(text):
+        vectors = []
+        for w in spelled(text):
+            word, first, own = toxicity.subwords(Letters([w]), np.array([0]))
+            vectors += [rows[own[a:b]].mean(axis=0) for a, b in zip(first[:-1], first[1:], strict=True)]
+        share = np.exp([v @ attention for v in vectors])
+        logits = (np.array(vectors) * (share / share.sum())[:, None]).sum(axis=0) @ out + bias
+        return np.exp(logits) / np.exp(logits).sum()
+
+    def run():
+        return toxicity.step(rows, attention, out, bias, sample.first, sample.rows, sample.begin, sample.piece, sample.n, y, weight)
+
+    p, grads = run()
+    assert np.allclose(p, [forward(t) for t in texts])
+    model = toxicity.Model(rows @ (out[:, 1] - out[:, 0]), rows @ attention, float(bias[1] - bias[0]))
+    assert np.allclose(model.scores(texts), p[:, 1])
+    loss = lambda: -(np.log(np.where(y == 1, run()[0][:, 1], run()[0][:, 0])) * weight).sum()
+    for param, grad in zip((rows, attention, out, bias), grads, strict=True):
+        for at in [np.unravel_index(i, param.shape) for i in (np.flatnonzero(grad)[[0, -1]])]:
+            kept = param[at]
+            param[at] = kept + 1e-5
+            up = loss()
+            param[at] = kept - 1e-5
+            assert (up - loss()) / 2e-5 == pytest.approx(grad[at], rel=1e-4, abs=1e-8)
+            param[at] = kept
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """Clashing names, and ids that repeat: no more rows than stated are fitted."""
+    rows = [(1, f"word{i} calm", 5, 5, "l") for i in range(50)] + [(3, "idiot", 5, 5, "l"), (None, "x", 5, 5, "l"), (5, None, 5, 5, "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int, id int, label string")
+    labels = spark.createDataFrame([(1, 0, 9), (3, 1, 9), (5, 0, 9), (3, 0, 9)], "doc_id long, toxic int, text int")
+    seen = []
+    monkeypatch.setattr(toxicity, "MAX_TRAIN", 7)
+    monkeypatch.setattr(toxicity.Model, "fit", classmethod(lambda cls, texts, labels: seen.append((texts, labels)) or cls(None, None, 0.0)))
+    toxicity.train(docs, labels)
+    assert len(seen[0][1]) == 8 and sum(seen[0][1]) == 1
+    assert toxicity.accepted(docs, toxicity.Model(None, None, 0.0)).columns == docs.columns
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
