@@ -291,41 +291,63 @@ def test_url_empty(spark):
 
 
 def brute_top(vectors, k):
-    good = [(i, [math.floor(64 * c) for c in v]) for i, v in vectors if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    long_ = lambda x: max(-(2**63), min(2**63 - 1, x))
+    good = [(i, [long_(math.floor(64 * c)) if abs(64 * c) < math.inf else (2**63 - 1 if c > 0 else -(2**63)) for c in v]) for i, v in vectors if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
     out = []
     for q, a in good:
         if q % 20 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q)[:k]
+            best = sorted((-long_(sum(x * y for x, y in zip(a, b))), i) for i, b in good if i != q)[:k]  # noqa: B905
             out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
 
+def searched_top(spark, rows, kind="array<double>"):
+    table = spark.createDataFrame([(*x, 1, 2, 3) for x in rows], f"vec_id long, embedding {kind}, score int, pivot int, id int").repartition(3)
+    q = mtree.quantised(table)
+    return sorted(tuple(x) for x in mtree.top_k(q, q.filter("id % 20 = 0"), 20).collect())
+
+
 def test_top_k(spark, monkeypatch):
     r = random.Random(11)
     rows = [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(900)] + [(i, [0.5] * 6) for i in range(900, 1200)]
-    rows += [(2000, None), (2020, [float("nan")] * 6), (2040, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2060, [float("inf")] + [0.0] * 5), (2080, [0.0] * 6), (None, [9.0] * 6)]
-    table = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<double>, score int").repartition(3)
-    monkeypatch.setattr(mtree, "SHARD_ROWS", 300)
-    monkeypatch.setattr(mtree, "BLOCK_ROWS", 25)
-    q = mtree.quantised(table)
-    assert sorted(tuple(x) for x in mtree.top_k(q, q.filter("id % 20 = 0"), 20).collect()) == brute_top(rows, 20)
+    rows += [(2000, None), (2020, [float("nan")] * 6), (2040, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2060, [float("inf")] + [0.0] * 5), (2080, [0.0] * 6), (None, [9.0] * 6), (40, [1.0] * 6), (900, [0.5] * 6)]
+    monkeypatch.setattr(mtree, "SHARD_ROWS", 100)
+    monkeypatch.setattr(mtree, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(mtree, "GROUP_BLOCKS", 2)
+    monkeypatch.setattr(mtree, "MAX_PIVOTS", 7)
+    assert searched_top(spark, rows) == brute_top(rows, 20)
+
+
+def test_top_k_of_few_short_and_huge_vectors(spark):
     few = [(0, [1.0, 2.0]), (1, [1.0, 1.0]), (20, [-1.0, 0.0])]
-    q = mtree.quantised(spark.createDataFrame(few, "vec_id long, embedding array<double>"))
-    assert sorted(tuple(x) for x in mtree.top_k(q, q.filter("id % 20 = 0"), 20).collect()) == brute_top(few, 20)
-    none = q.limit(0)
+    assert searched_top(spark, few) == brute_top(few, 20)
+    mixed = [(0, [1.0, 2.0, 3.0]), (1, []), (20, [2.0]), (2, [1.0, -1.0]), (40, [])]
+    assert searched_top(spark, mixed) == brute_top(mixed, 20)
+    assert searched_top(spark, [(0, []), (1, [])]) == [(0, 1, 1, 0)]
+    huge = [(0, [1e9, -1.0]), (1, [3e15, 7.0]), (20, [1e300, 1.0]), (2, [-1e300, 5.0]), (3, [2.0**53, 1.0]), (4, [-3.0, 2.0])]
+    assert searched_top(spark, huge) == brute_top(huge, 20)
+    none = mtree.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert mtree.top_k(none, none).collect() == []
+    one = mtree.quantised(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>"))
+    assert mtree.top_k(one, one.filter("id = 0")).collect() == [] and mtree.top_k(one, one).collect() == []
 
 
 def test_tree_avoids_distances():
+    """Clustered vectors of 64 dimensions: most distances are never computed."""
     r = np.random.default_rng(4)
-    centres = r.integers(-4000, 4000, (40, 8))
-    vectors = (centres[r.integers(0, 40, 8000)] + r.integers(-20, 20, (8000, 8))).astype(np.int32)
-    tree = mtree.Tree(np.arange(8000), vectors)
-    for i in (0, 5, 77):
-        found, computed = tree.search(vectors[i], i, 10)
-        scores = vectors.astype(np.int64) @ vectors[i].astype(np.int64)
-        assert found == [(int(scores[j]), int(j)) for j in np.lexsort((np.arange(8000), -scores)) if j != i][:10]
-        assert computed < 4000
+    centres = r.integers(-4000, 4000, (60, 64))
+    vectors = centres[r.integers(0, 60, 9000)] + r.integers(-20, 20, (9000, 64))
+    top = float((vectors * vectors).sum(axis=1).max())
+    tree = mtree.Tree.load(np.arange(9000), vectors, top)
+    asked = np.arange(0, 9000, 60)
+    score, who, computed = tree.search(vectors[asked], asked, 10)
+    for row, i in enumerate(asked):
+        scores = vectors @ vectors[i]
+        want = [j for j in np.lexsort((np.arange(9000), -scores)) if j != i][:10]
+        assert who[row].tolist() == want and score[row].tolist() == scores[want].tolist()
+    assert computed < 0.5 * len(asked) * 9000
+    one = sum(tree.search(vectors[[i]], np.array([i]), 10)[2] for i in asked[:20])
+    assert one < 0.2 * 20 * 9000
 
 
 # ---------------------------------------------------------------------------- toxicity
