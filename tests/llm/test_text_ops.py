@@ -171,9 +171,9 @@ def test_decontaminate(spark, monkeypatch):
     want = brute_hits(rows, items, 10)
     assert sorted((tuple(r) for r in decontaminate.judge(frame(spark, rows), table).collect()), key=str) == want
     assert any(x[-1] for x in want) and not all(x[-1] for x in want)
-    plain = [(i, t) for i, t in rows if i not in (5, 7, None)]
     monkeypatch.setattr(decontaminate, "MAX_WINDOWS", 5)
-    assert sorted((tuple(r) for r in decontaminate.judge(frame(spark, plain), table).collect()), key=str) == brute_hits(plain, items, 10)
+    monkeypatch.setattr(decontaminate, "CANDIDATES", 3)
+    assert sorted((tuple(r) for r in decontaminate.judge(frame(spark, rows), table).collect()), key=str) == want
 
 
 def test_decontaminate_blocks_judge_each_row(spark, monkeypatch):
@@ -182,7 +182,8 @@ def test_decontaminate_blocks_judge_each_row(spark, monkeypatch):
     items = [(1, hit), (2, "k l m n o p q r s t"), (3, "a b c d e f g h i j u v w x")]
     table = spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(decontaminate, "MAX_WINDOWS", 1)
-    assert len(decontaminate.matches(frame(spark, rows), table)) > 2
+    index = decontaminate.build_index(frame(spark, rows), "doc_id", "text")
+    assert len(decontaminate.search(index, table)) > 2
     assert sorted((tuple(r) for r in decontaminate.judge(frame(spark, rows), table).collect()), key=str) == brute_hits(rows, items, 10)
 
 
@@ -192,8 +193,8 @@ def test_decontaminate_cleans_each_row(spark, monkeypatch, most):
     rows = [(5, hit), (5, "clean"), (None, "x " + hit), (None, "clean too"), (None, None), (6, "k l")]
     table = spark.createDataFrame([(1, hit), (2, "k l")], "item_id long, text string")
     monkeypatch.setattr(decontaminate, "MAX_WINDOWS", most)
-    kept = decontaminate.clean(frame(spark, rows), table)
-    assert kept.columns == DOCS.names
+    kept = decontaminate.clean(frame(spark, rows).withColumnRenamed("chunk", "row"), table)
+    assert kept.columns == [*DOCS.names[:-1], "row"]
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, "clean"), (None, "clean too"), (None, None)], key=str)
 
 
@@ -208,5 +209,18 @@ def test_proximity(spark):
     docs = frame(spark, [(1, "one very two three"), (2, "one two three"), (3, "one a b c d two three"), (4, "beta alpha"), (5, "two")])
     got = {(r.id, r.item) for r in decontaminate.proximity(docs, items, slop=1).collect()}
     assert got == {(1, "1"), (2, "1")}
+    two = frame(spark, [(6, "one two"), (7, "three"), (8, "alpha"), (9, "beta")], 1)
+    assert decontaminate.proximity(two, items, slop=3).collect() == []
     got = {(r.id, r.item) for r in decontaminate.proximity(docs, items, slop=2).collect()}
     assert got == {(1, "1"), (2, "1"), (4, "2")}
+
+
+def test_index_holds_every_word(spark):
+    """An index is searched again with other items."""
+    rows = corpus(9, 20)
+    index = decontaminate.build_index(frame(spark, rows), "doc_id", "text")
+    for first in (0, 30):
+        items = [(1, " ".join(words_of(rows[3][1])[first : first + 15])), (2, "w7")]
+        found = decontaminate.search(index, spark.createDataFrame(items, "item_id long, text string"))
+        assert len(found) == 1
+        assert sorted(((r.id, r.n_words, len(r["items"])) for r in found[0].collect()), key=str) == sorted(((x[0], x[1], x[3]) for x in brute_hits(rows, items, 10)), key=str)

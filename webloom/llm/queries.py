@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_warc_dictionary": warc.ORACLE,
     "op4_mix_systematic": mixing.ORACLE,
+    "op6_decontaminate_positional": decontaminate.ORACLE,
     "op7_top_k_mtree": mtree.ORACLE,
 }
