@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -124,6 +125,45 @@ def test_substring(spark, window, seed, monkeypatch):
     assert again == sorted(((a, d) for a, _, _, d in brute_cut(rows, window)), key=str)
 
 
+def test_substring_splits_heavy_minimisers(spark, monkeypatch):
+    """One gram in many contexts: its super-k-mers are cut by a second minimiser, and no bucket holds most of them."""
+    import numpy as np
+
+    from webloom.llm.common import Words, run_hashes
+
+    r = random.Random(8)
+    vocab = ["v%d" % i for i in range(4000)]
+    grams = [[r.choice(vocab) for _ in range(4)] for _ in range(3000)]
+    data = " ".join(" ".join(g) for g in grams).encode()
+    h = run_hashes(Words(np.frombuffer(data, np.uint8), np.array([0, len(data)])).hashes(), 4)[::4]
+    common = grams[int(np.argmin(h))]
+    rows = []
+    for i in range(120):
+        w = [r.choice(vocab) for _ in range(200)]
+        for at in (30, 90, 150):
+            w[at:at] = common
+        rows.append((i, " ".join(w)))
+    some = words_of(rows[3][1])
+    rows += [(200 + i, " ".join(["x%d" % i] + some[10 : 80 + i])) for i in range(20)]
+    want = brute_cut(rows, 50)
+    for heavy in (1 << 40, 2000):
+        monkeypatch.setattr(substring, "HEAVY_BYTES", heavy)
+        monkeypatch.setattr(substring, "BUCKET_BYTES", 4000)
+        got = substring.cut_repeats(frame(spark, rows), output="digest").select("doc_id", "_n_words", "_n_removed", "_kept").collect()
+        assert sorted((tuple(x) for x in got), key=str) == want
+    assert sum(x[2] for x in want) > 0
+    c = substring.Chunk(pa.RecordBatch.from_pydict({"i": [x[0] for x in rows], "t": [x[1] for x in rows]}), "i", "t", 50)
+    _, which = np.unique(c.minimiser, return_inverse=True)
+    assert np.bincount(which, c.size).max() > 50_000
+
+
+def test_substring_keeps_clashing_columns(spark):
+    text = " ".join("w%d" % i for i in range(60))
+    docs = spark.createDataFrame([(1, text, 1, "a", 5), (2, text, 2, "b", 6), (3, None, 3, "c", 7)], "doc_id long, text string, _n_removed int, _kept string, n_chars int")
+    assert substring.cut_repeats(docs).columns == [*docs.columns, "_n_words", "__n_removed", "__kept"]
+    assert sorted(tuple(r) for r in substring.cleaned(docs).collect()) == [(1, text, 1, "a", 5), (2, "", 2, "b", 0), (3, None, 3, "c", 7)]
+
+
 def test_substring_empty(spark):
     assert substring.cut_repeats(frame(spark, [])).collect() == []
     assert substring.cleaned(frame(spark, [(1, None)])).collect()[0].text is None

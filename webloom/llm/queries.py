@@ -22,4 +22,5 @@ ORACLE_SQL = {
     "op4_mix_systematic": mixing.ORACLE,
     "op6_decontaminate_positional": decontaminate.ORACLE,
     "op7_top_k_mtree": mtree.ORACLE,
+    "op10_substring_super_kmer": substring.ORACLE,
 }
