@@ -15,7 +15,7 @@ Links are confirmed on whole shingle sets (64-bit shingle hashes).
 
 Nulls, ties and odd rows: null text, empty text and text without words have an empty set
 and are linked with nothing.  Rows sharing a doc_id count as one document.  Rows with a null
-doc_id are linked with nothing (component null, kept).  Extra columns pass through untouched.
+doc_id are linked with nothing (component null, kept).  Extra columns are ignored by near_duplicates() and pass through keep_one() untouched.
 """
 
 from __future__ import annotations
@@ -157,14 +157,16 @@ def _prefix_pairs(unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFr
     # text and n are computed under the explode: once a set, not once a shingle
     rows = sets.join(unsettled, "id").withColumn("text", F.xxhash64("shingles")).withColumn("n", F.size("shingles"))
     rows = rows.select("id", "comp", "text", "n", F.explode("shingles").alias("shingle"))
-    frequency = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    # aggregates that meet their own rows are tables of their own, so that the adaptive skew join can split a hot key
+    frequency = materialise(rows.groupBy("shingle").agg(F.count("*").alias("df")), "frequency")
     # rows of one id and one text share their ranks
     ranked = rows.join(frequency, "shingle").withColumn("at", F.dense_rank().over(Window.partitionBy("id", "text").orderBy("df", "shingle")) - 1)
     prefix = ranked.filter((F.col("df") > 1) & (F.col("at") * 100 <= F.col("n") * (100 - percent))).select("shingle", "id", "comp", "n", "at")
     prefix = materialise(prefix, "prefix")
     # a pair of two components has a side outside the shingle's most frequent one, so copies already linked never meet
-    usual = prefix.groupBy("shingle", "comp").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.max_by("comp", F.struct("m", "comp")).alias("usual"), F.count("*").alias("comps"))
-    several = materialise(prefix.join(usual.filter(F.col("comps") > 1), "shingle").drop("comps"), "prefix")
+    usual = prefix.groupBy("shingle", "comp").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.max(F.struct("m", "comp"))["comp"].alias("usual"), F.count("*").alias("comps"))
+    usual = materialise(usual.filter(F.col("comps") > 1).drop("comps"), "usual")
+    several = materialise(prefix.join(usual, "shingle"), "prefix")
     one = several.filter(F.col("comp") != F.col("usual")).select("shingle", *[F.col(c).alias(f"{c}_1") for c in ("id", "comp", "n", "at")])
     n, n_1 = F.col("n"), F.col("n_1")
     once = (F.col("comp") == F.col("usual")) | (F.col("id_1") < F.col("id"))
@@ -179,17 +181,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sig = materialise(source.mapInArrow(_signatures(width), "id long, n long, k1 long, k2 long, bands array<long>"), "signatures")
     able = sig.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = able.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    classes = materialise(able.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
     member = materialise(able.select("id", "n", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "n", "rep"), "classes")
     # A document with several classes (rows sharing its id) ties them together.
     ties = member.filter(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
     reps = able.join(classes, ["k1", "k2"]).filter(F.col("id") == F.col("rep")).select("id", "bands")
     buckets = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
+    shared = materialise(buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > 1), "shared")
     members = materialise(buckets.join(shared, "bucket"), "buckets")
     popular = members.groupBy("id").agg(F.sum("size").alias("weight"))
-    lead = members.join(popular, "id").groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("leader"))
+    lead = members.join(popular, "id").groupBy("bucket").agg((-F.max(F.struct("weight", (-F.col("id")).alias("minus")))["minus"]).alias("leader"))
+    lead = materialise(lead, "leaders")
     pairs = members.join(lead, "bucket").filter(F.col("id") != F.col("leader")).select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b"))
     pairs = materialise(pairs.distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -227,3 +230,23 @@ def query(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
     return near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+_FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_FOLD}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT r, md5_number(array_to_string(w[n : n + least(len(w), 4) - 1], ' ')) AS s FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS n FROM d WHERE len(w) > 0)),
+size AS MATERIALIZED (SELECT r, count(*) AS n FROM sh GROUP BY r),
+-- equal sets are one class, so that copies don't pair with each other
+class AS MATERIALIZED (SELECT r, min(r) OVER (PARTITION BY n, total) AS c FROM (SELECT sh.r, any_value(size.n) AS n, sum(hash(s)) AS total FROM sh JOIN size USING (r) GROUP BY sh.r)),
+rep AS MATERIALIZED (SELECT sh.r, s FROM sh JOIN class ON class.r = sh.r AND class.c = class.r),
+pair AS MATERIALIZED (SELECT a.r AS a, b.r AS b, count(*) AS common FROM rep a JOIN rep b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+link AS MATERIALIZED (SELECT a, b FROM pair JOIN size x ON x.r = a JOIN size y ON y.r = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+  UNION SELECT r, c FROM class WHERE r <> c),
+named AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM link JOIN d x ON x.r = a JOIN d y ON y.r = b WHERE x.doc_id IS NOT NULL AND y.doc_id IS NOT NULL),
+e AS MATERIALIZED (SELECT a, b FROM named UNION SELECT b, a FROM named),
+w(id, comp) USING KEY (id) AS (SELECT DISTINCT doc_id, doc_id FROM d WHERE doc_id IS NOT NULL UNION
+  SELECT r.id, min(w.comp) FROM w JOIN e ON e.a = w.id JOIN recurring.w AS r ON r.id = e.b WHERE w.comp < r.comp GROUP BY r.id)
+SELECT doc_id, coalesce(size.n, 0)::BIGINT AS n_shingles, w.comp AS component_id, coalesce(w.comp = doc_id, true) AS kept
+FROM d LEFT JOIN size USING (r) LEFT JOIN w ON w.id = doc_id
+"""

@@ -22,5 +22,6 @@ ORACLE_SQL = {
     "op4_mix_systematic": mixing.ORACLE,
     "op6_decontaminate_positional": decontaminate.ORACLE,
     "op7_top_k_mtree": mtree.ORACLE,
+    "op9_near_dup_min_max": minhash.ORACLE,
     "op10_substring_super_kmer": substring.ORACLE,
 }
