@@ -14,7 +14,7 @@ pyarrow's file systems, so the folder may be any that executors reach (file://,
 
 Nulls, ties and odd rows: null html is an empty payload; a null url leaves out the target; control characters in a url are
 percent-encoded; of rows with one page id and payload each is a response if the id is the smallest; null ids are larger than all
-others.  Extra columns are ignored.
+others, and where all ids of a payload are null, each is a response.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ MIN_BYTES = 100
 DICT_BYTES = 32 << 10
 DICT_SAMPLE_BYTES = 1 << 20
 ROLL_BYTES = 512 << 20
+#: Tasks that read archives at most.
+MAX_TASKS = 20_000
 SKIPPABLE_MAGIC = 0x184D2A5D
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -189,6 +191,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, id
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), body.alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     same = rows.filter(F.length("html") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").select("digest", "first")
+    # a table of its own, so that the adaptive skew join can split a digest that many pages share
+    same = materialise(same, "repeated")
     joined = rows.join(same, "digest", "left")
     revisit = F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") != F.col("first")))
     out = joined.select("id", "url", "html", "digest", F.when(revisit, F.col("first")).alias("refers_to"), F.when(revisit, "revisit").otherwise("response").alias("kind"))
@@ -229,7 +233,8 @@ def _read(folder: str, with_payload: bool):
 def read_archives(manifest: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
     """A row per record of the archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload, null-free)."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(_read(folder, with_payload), schema)
+    # a task for each archive
+    return manifest.select("path").repartition(max(1, min(manifest.count(), MAX_TASKS))).mapInArrow(_read(folder, with_payload), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
