@@ -9,7 +9,7 @@ The k-th largest key is found exactly and without a total sort: keys are counted
 that holds the k-th, until the bin is small.
 
 Nulls, ties and odd rows: null and empty texts have weight 0 (no n-grams) and take part; equal keys go to the smaller
-id; a null id has a key of its own, noise drawn for "null"; labels of unknown documents don't count, of
+id, and of one id's rows to any; a null id has a key of its own, noise drawn for "null"; labels of unknown documents don't count, of
 contradictory ones the better counts; without any target the weights are all 0 and sampling is uniform.
 """
 
@@ -96,27 +96,27 @@ def weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col
     return source.mapInArrow(run, "id long, log_weight double")
 
 
-def _kth_largest(keys: DataFrame, k: int) -> tuple[float, int] | None:
-    """The k-th largest key, and how many rows with exactly that key are among the k; by counting in ever finer bins."""
-    lo, hi, n = keys.agg(F.min("key"), F.max("key"), F.count("*")).first()
+def _kth_largest(keys: DataFrame, k: int, column: str = "key") -> tuple | None:
+    """The k-th largest value of a double or long column, and how many rows with exactly that value are among the k; by counting in ever finer bins."""
+    whole = dict(keys.dtypes)[column] == "bigint"
+    value = F.col(column).cast("decimal(20,0)") if whole else F.col(column)
+    lo, hi, n = keys.agg(F.min(column), F.max(column), F.count("*")).first()
     if k <= 0 or not n:
         return None
-    if k >= n:
-        k = n
-    left = k
+    left = k = min(k, n)
     while lo < hi:
-        width = (hi - lo) / _N_BINS
+        width = (hi - lo) // _N_BINS + 1 if whole else (hi - lo) / _N_BINS
         if width <= 0 or lo + width == lo:
             break
-        inside = keys.filter((F.col("key") >= lo) & (F.col("key") <= hi))
-        bins = inside.groupBy(F.least(F.floor((F.col("key") - lo) / width), F.lit(_N_BINS - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        inside = keys.filter((F.col(column) >= lo) & (F.col(column) <= hi))
+        bins = inside.groupBy(F.least(F.floor((value - lo) / width).cast("int"), F.lit(_N_BINS - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
         for r in sorted(bins.collect(), key=lambda r: -r.bin):
             if r.n >= left:
                 lo, hi, n = r.lo, r.hi, r.n
                 break
             left -= r.n
         if n <= _SMALL:
-            rows = [r.key for r in keys.filter((F.col("key") >= lo) & (F.col("key") <= hi)).select("key").collect()]
+            rows = [r[0] for r in keys.filter((F.col(column) >= lo) & (F.col(column) <= hi)).select(column).collect()]
             rows.sort(reverse=True)
             cut = rows[left - 1]
             return cut, left - sum(x > cut for x in rows)
@@ -127,21 +127,20 @@ def resample(weighted: DataFrame, k: int, seed: str = SEED) -> DataFrame:
     """weighted's (id, log_weight) with the Gumbel key and whether the row is among the k largest."""
     bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10).cast("double")
     uniform = (bits + 0.5) / F.lit(float(16**13))
-    keys = materialise(weighted.select("id", "log_weight", (F.col("log_weight") - F.log(-F.log(uniform))).alias("key")), "gumbel")
-    found = _kth_largest(keys, k)
-    if found is None:
-        return keys.withColumn("selected", F.lit(False))
-    cut, ties = found
-    # rows with exactly the k-th key: the smallest ids stay, by a threshold on the id found the same way
-    edge = keys.filter(F.col("key") == cut)
-    n_edge = edge.count()
-    if n_edge > ties:
-        by_id = edge.select((-F.coalesce(F.col("id"), F.lit(2**62)).cast("double")).alias("key"))
-        last = _kth_largest(by_id, ties)
-        inside = (F.col("key") == cut) & (-F.coalesce(F.col("id"), F.lit(2**62)).cast("double") >= last[0])
-    else:
-        inside = F.col("key") == cut
-    return keys.withColumn("selected", (F.col("key") > cut) | inside)
+    # in the order of: key, largest first; id, smallest first (~id falls as id grows, and never overflows), nulls last; place
+    ranked = weighted.select("id", "log_weight", (F.col("log_weight") - F.log(-F.log(uniform))).alias("key"), F.bitwise_not(F.coalesce("id", F.lit(2**63 - 1))).alias("by_id"), F.bitwise_not(F.monotonically_increasing_id()).alias("by_place"))
+    keys = materialise(ranked, "gumbel")
+    inside, tied, left = F.lit(False), F.lit(True), k
+    for column in ("key", "by_id", "by_place"):
+        found = _kth_largest(keys.filter(tied), left, column)
+        if found is None:
+            break
+        cut, left = found
+        inside, tied = inside | (tied & (F.col(column) > cut)), tied & (F.col(column) == cut)
+        if keys.filter(tied).count() == left:
+            inside = inside | tied
+            break
+    return keys.withColumn("selected", inside).drop("by_id", "by_place")
 
 
 def select_by_quality(docs: DataFrame, labels: DataFrame, fraction: float = FRACTION, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
