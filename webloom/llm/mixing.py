@@ -13,7 +13,7 @@ target exceeds twice its source's size, and the excess is reshared by weight (wa
 the per-source totals, which hold one row per source).
 
 Nulls, ties and odd rows: null or empty text has size 0 and is never taken; a null source is a source of its own, the last;
-rows that share an id are told apart by size and otherwise interchangeable; a null id sorts first.
+rows that share an id are told apart by size, then by a hash of the text, and otherwise interchangeable; a null id sorts first.
 """
 
 from __future__ import annotations
@@ -60,11 +60,11 @@ def targets(sized: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFram
     return w.select("source", "source_size", F.when(F.col("water").isNull() | (F.col("fill") <= F.col("water")), F.col("cap")).otherwise(F.col("water") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, seed: str = SEED) -> DataFrame:
-    """One row per row of docs: id, size, source_size, target, taken, copies."""
+def _mixed(docs: DataFrame, row: Column, id_col: str, text_col: str, source_col: str, share: float, seed: str) -> DataFrame:
+    """One row per row of docs: row, id, size, source_size, target, taken, copies."""
     key = _md5_of(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(_WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = materialise(sized.select("id", "source", "size", size_class(F.col("size")).cast("int").alias("class"), key.alias("key")), "sizes")
+    sized = docs.select(row.alias("row"), F.xxhash64(F.col(text_col)).alias("text"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(_WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = materialise(sized.select("row", "text", "id", "source", "size", size_class(F.col("size")).cast("int").alias("class"), key.alias("key")), "sizes")
 
     classes = materialise(sized.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "size-classes")
     goal = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), share)
@@ -73,27 +73,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ways = classes.select(F.col("source").alias("s2"), F.col("class").alias("c2"), F.ceil(F.sqrt("n")).cast("long").alias("ways"))
 
     placed = sized.join(ways, F.col("source").eqNullSafe(F.col("s2")) & (F.col("class") == F.col("c2")))
-    placed = placed.select("id", "source", "size", "class", "key", F.floor(F.col("key") * F.col("ways") / F.lit(4294967296.0)).alias("range"))
+    placed = placed.select("row", "text", "id", "source", "size", "class", "key", F.floor(F.col("key") * F.col("ways") / F.lit(4294967296.0)).alias("range"))
     groups = placed.groupBy("source", "class", "range").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("class", "range").rowsBetween(Window.unboundedPreceding, -1))
     groups = groups.select("source", "class", "range", F.coalesce(before, F.lit(0)).alias("before"))
     groups = groups.join(goal.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    own = F.row_number().over(Window.partitionBy("source", "class", "range").orderBy("key", "id", "size"))
+    own = F.row_number().over(Window.partitionBy("source", "class", "range").orderBy("key", "id", "size", "text"))
     ranked = placed.withColumn("own", own).alias("p").join(groups.alias("g"), F.expr("p.source <=> g.source AND p.class = g.class AND p.range = g.range"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rank = F.col("before") + F.col("own")
     copies = F.least(F.floor(rank * rate + F.col("offset")) - F.floor((rank - 1) * rate + F.col("offset")), F.lit(2))
-    return ranked.select(F.col("p.id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"))
-
+    return ranked.select("row", F.col("p.id").alias("id"), "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"))
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: docs' columns, each document as often as it is taken, with the copy's number in mix_copy.
 
-    Rows that share an id are taken alike: the largest number of copies drawn for the id counts for each.
-    """
-    taken = mix(docs, id_col, text_col, source_col, **options).filter("taken > 0").groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies"))
-    out = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_id")))
-    return out.select(*[F.col(c) for c in docs.columns], F.explode(F.expr("sequence(1, _copies)")).alias("mix_copy"))
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, seed: str = SEED) -> DataFrame:
+    """One row per row of docs: id, size, source_size, target, taken, copies."""
+    return _mixed(docs, F.lit(None).cast("long"), id_col, text_col, source_col, share, seed).drop("row").withColumnRenamed("id", id_col)
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, seed: str = SEED) -> DataFrame:
+    """The mix itself: docs' columns, each row as often as it is taken, with the copy's number in mix_copy (with underscores behind it where docs has
+    such a column).  Each row is taken by itself, whatever its id: docs are written once more with a key for each."""
+    flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own = materialise(flat.withColumn("row", F.monotonically_increasing_id()), "keyed-docs")
+    named = own.select("row", *[F.col(f"c{docs.columns.index(c)}").alias(n) for n, c in (("doc", id_col), ("body", text_col), ("origin", source_col))])
+    taken = _mixed(named, F.col("row"), "doc", "body", "origin", share, seed).filter("copies > 0 and size > 0").select("row", F.expr("sequence(1, copies)").alias("numbers"))
+    copy = "mix_copy"
+    while copy in (c.lower() for c in docs.columns):
+        copy += "_"
+    return own.join(taken, "row").select(*flat.columns, F.explode("numbers").alias("number")).toDF(*docs.columns, copy)
 
 
 #: DuckDB SQL of mix() over a relation `docs(doc_id, text, source)`; ranks by one sort instead of two levels.
