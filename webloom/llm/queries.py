@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_warc_dictionary": warc.ORACLE,
     "op4_mix_systematic": mixing.ORACLE,
+    "op5_url_link_graph": urlfilter.ORACLE,
     "op6_decontaminate_positional": decontaminate.ORACLE,
     "op7_top_k_mtree": mtree.ORACLE,
     "op9_near_dup_min_max": minhash.ORACLE,
