@@ -36,6 +36,18 @@ def test_warc_round_trip(spark):
     assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.payload) for r in got} == want
 
 
+def test_warc_without_ids_and_many_archives(spark):
+    pages = spark.createDataFrame([(None, "u", "x" * 200)] * 3 + [(5, "u", "y" * 200), (5, "u", "y" * 200)], "page_id long, url string, html string")
+    folder = new_path(spark, "test-warc")
+    got = warc.read_archives(warc.write_archives(pages, folder), folder).collect()
+    assert [(r.page_id, r.record_type, r.refers_to) for r in sorted(got, key=str)] == [(5, "response", None)] * 2 + [(None, "response", None)] * 3
+    manifest = warc.write_archives(pages, folder)
+    for _ in range(4):
+        manifest = manifest.union(warc.write_archives(pages, folder))
+    read = warc.read_archives(manifest, folder)
+    assert manifest.count() > 4 and read.rdd.getNumPartitions() == manifest.count() and read.count() == 25
+
+
 def test_warc_empty(spark):
     folder = new_path(spark, "test-warc")
     manifest = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder)
@@ -184,6 +196,23 @@ def test_kth_largest(spark, k):
         assert found == (cut, min(k, len(values)) - sum(v > cut for v in values))
 
 
+@pytest.mark.parametrize("k", [1, 2, 700, 3000])
+def test_kth_largest_of_longs(spark, k):
+    r = random.Random(k)
+    values = [r.choice([-(2**63), 2**63 - 1, 0, 2**53, 2**53 + 1, r.randrange(-(2**62), 2**62)]) for _ in range(3000)]
+    keys = spark.createDataFrame([(v,) for v in values], "key long")
+    cut = sorted(values, reverse=True)[k - 1]
+    assert quality._kth_largest(keys, k) == (cut, k - sum(v > cut for v in values))
+
+
+def test_quality_takes_as_many_as_it_says(spark):
+    rows = [(7, "a a")] * 12 + [(None, "a a")] * 4 + [(2**53 + i, "a") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
+    for fraction in (0.05, 0.25, 0.5, 0.9, 1.0):
+        assert quality.select_by_quality(docs, labels, fraction).filter("selected").count() == int(20 * fraction)
+
+
 def test_quality_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
@@ -218,6 +247,21 @@ def test_mixing(spark):
     assert {x.doc_id: x["count"] for x in copies} == {x.doc_id: x.copies for x in got if x.taken}
 
 
+def test_mixed_takes_each_row_by_itself(spark):
+    r = random.Random(6)
+    rows = [(r.choice([1, 2, None, 4]), "w " * r.choice([0, 1, 3, 30]), r.choice(["a", "b", None]), i, 9, 3) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id int, mix_copy int, row int").repartition(3)
+    copies = mixing.mixed(docs)
+    assert copies.columns == [*docs.columns, "mix_copy_"]
+    seen = Counter(x._id for x in copies.collect())
+    want, got = Counter(), Counter()
+    for x in mixing.mix(docs).collect():
+        want[x.doc_id, x.size, x.copies if x.size else 0] += 1
+    for doc, text, _, i, _, _ in rows:
+        got[doc, text.count("w"), seen[i]] += 1
+    assert got == want and max(seen.values()) == 2
+
+
 def test_mixing_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(docs).collect() == [] and mixing.mixed(docs).collect() == []
@@ -283,6 +327,27 @@ def test_url_scores_converge_on_a_long_chain(spark):
     assert found == {"a": pytest.approx(0.15 / (1 - 0.85**2), abs=1e-5), "b": pytest.approx(0.85 * 0.15 / (1 - 0.85**2), abs=1e-5)}
 
 
+def test_host_edges(spark):
+    pages = [(1, "http://a/p", '<a data-href="http://no/">x</a><a class=k href=//b/x>y</a><!-- <a href="http://no2/"> --><A\nHREF = "https://C/">'), (2, "http://b/", "<script>'<a href=\"http://no3/\">'</script><a href='/own'><a href=\"http://b/2\">"), (3, None, '<a href="http://a/">'), (4, "http://c/", None)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert sorted(tuple(r) for r in urlfilter.host_edges(table).collect()) == [("a", "b"), ("a", "c")]
+
+
+@pytest.mark.parametrize("links", [1 << 17, 2])
+def test_url_sql_on_linked_hosts(spark, monkeypatch, links):
+    """The whole query against its SQL where hosts are linked; with hubs dealt to parts too."""
+    r = random.Random(4)
+    hosts = ["good.com", "x.good.com", "bad.net", "spam.net", *[f"h{i}.org" for i in range(12)]]
+    pages = [(i, f"http://{r.choice(hosts)}{r.choice(['/es/', '/fr/1', '/en/', ''])}", "".join(f'<a href="{r.choice(["http:", ""])}//{r.choice(hosts)}/p">x</a>' for _ in range(r.randrange(4)))) for i in range(60)] + [(99, None, None)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    monkeypatch.setattr(urlfilter, "HUB_LINKS", links)
+    got = sorted(((x.page_id, x.host, x.path, x.rule, x.verdict) for x in urlfilter.judge(table).collect()), key=str)
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": [p[0] for p in pages], "url": [p[1] for p in pages], "html": [p[2] for p in pages]}))
+    assert got == sorted(con.sql(urlfilter.ORACLE).fetchall(), key=str)
+    assert {x[4] for x in got if x[3] is None} == {"allow", "block"}
+
+
 def test_url_empty(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
@@ -127,8 +128,6 @@ def test_substring(spark, window, seed, monkeypatch):
 
 def test_substring_splits_heavy_minimisers(spark, monkeypatch):
     """One gram in many contexts: its super-k-mers are cut by a second minimiser, and no bucket holds most of them."""
-    import numpy as np
-
     from webloom.llm.common import Words, run_hashes
 
     r = random.Random(8)
@@ -171,8 +170,6 @@ def test_substring_empty(spark):
 
 def test_substring_hashes_disagree(spark, monkeypatch):
     """Where the two hashes disagree, strings decide."""
-    import numpy as np
-
     from webloom.llm.common import SPACED, Words
 
     data = np.frombuffer(b"a b c a b d a b c", np.uint8)
@@ -212,7 +209,6 @@ def test_decontaminate(spark, monkeypatch):
     assert sorted((tuple(r) for r in decontaminate.judge(frame(spark, rows), table).collect()), key=str) == want
     assert any(x[-1] for x in want) and not all(x[-1] for x in want)
     monkeypatch.setattr(decontaminate, "MAX_WINDOWS", 5)
-    monkeypatch.setattr(decontaminate, "CANDIDATES", 3)
     assert sorted((tuple(r) for r in decontaminate.judge(frame(spark, rows), table).collect()), key=str) == want
 
 
@@ -255,6 +251,19 @@ def test_proximity(spark):
     assert got == {(1, "1"), (2, "1"), (4, "2")}
 
 
+def test_segment_takes_candidates_in_parts(spark, monkeypatch):
+    rows = corpus(5, 40)
+    segments = [decontaminate.Segment(*r) for r in decontaminate.build_index(frame(spark, rows), "doc_id", "text").collect()]
+    items = spark.createDataFrame([(1, " ".join(words_of(rows[0][1])[2:30])), (2, "w5"), (3, "w6 w7")], "item_id long, text string")
+    (block,) = decontaminate._blocks_of_windows(items, "item_id", "text", 10)
+    block.ordered(np.arange(len(block.hashes) + 1))
+    for slop in (None, 2):
+        want = [set(zip(*[x.tolist() for x in s.search(block, slop)], strict=True)) for s in segments]
+        monkeypatch.setattr(decontaminate, "CANDIDATES", 3)
+        assert want == [set(zip(*[x.tolist() for x in s.search(block, slop)], strict=True)) for s in segments] and any(want)
+        monkeypatch.undo()
+
+
 def test_index_holds_every_word(spark):
     """An index is searched again with other items."""
     rows = corpus(9, 20)
