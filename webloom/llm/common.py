@@ -22,6 +22,8 @@ U64 = np.uint64
 _libc = ctypes.CDLL(None)
 #: Raw text bytes handled at a time; a longer document is handled on its own.
 BLOCK_BYTES = 1 << 19
+#: Bytes of an Arrow batch that goes to a Python worker; a longer row goes on its own.
+ARROW_BYTES = "4m"
 #: Bytes hashed at a time, which bounds the tables of powers that a worker keeps.
 HASH_BYTES = 1 << 16
 
@@ -29,8 +31,12 @@ HASH_BYTES = 1 << 16
 # --------------------------------------------------------------------------- Spark side
 
 
+#: Every path that new_path() has given.
+made: list[str] = []
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    limit_arrow_batches(spark, "8m")
+    limit_arrow_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -52,9 +58,20 @@ def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder, removed when the application ends."""
     path = f"{shared_dir(spark)}/webloom-{tag}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
+    made.append(path)
     return path
 
 
+def release(spark: SparkSession, paths: list[str], needed: DataFrame | None = None) -> list[str]:
+    """Remove these tables, but for those that `needed` reads; returns what stays."""
+    parts = {part for file in needed.inputFiles() for part in file.split("/")} if needed is not None and paths else set()
+    stay = [path for path in paths if path.rsplit("/", 1)[1] in parts]
+    for path in paths:
+        if path not in stay:
+            remove(spark, path)
+    return stay
+
+
 def remove(spark: SparkSession, path: str) -> None:
     try:
         sc = spark.sparkContext
@@ -72,9 +89,9 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def limit_arrow_batches(spark: SparkSession, size: str = "16m") -> None:
-    """Bound Arrow batches by bytes, so that rows of a megabyte don't gather by the ten thousand."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def limit_arrow_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so that rows of a megabyte don't gather by the ten thousand; the same bound for every operator."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def crc_bucket(column: str = "doc_id") -> F.Column:

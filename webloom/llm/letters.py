@@ -11,7 +11,7 @@ from functools import cache
 
 import numpy as np
 
-from .common import U64, mix, runs_of, span_hashes
+from .common import U64, mix, runs_of, span_hashes, tidy
 
 #: Characters of a text handled at a time, cut where no letter stands.
 PIECE = 1 << 18
@@ -56,6 +56,7 @@ def blocks_of(texts: list[str], size: int = PIECE):
             n += len(piece)
     if held:
         yield numbers, held
+    tidy()
 
 
 class Letters:

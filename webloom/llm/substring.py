@@ -38,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, U64, Words, blocks, buffers, limit_arrow_batches, materialise, mix, run_hashes, span_hashes, text_array
+from .common import SPACED, U64, Words, blocks, buffers, limit_arrow_batches, materialise, mix, run_hashes, span_hashes, text_array, tidy
 from .letters import ranges
 
 GRAM, LONG_GRAM = 4, 16
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 4 << 20
 #: Bytes of different super-k-mers of one minimiser from which a second one cuts them.
 HEAVY_BYTES = 1 << 18
@@ -156,6 +156,7 @@ def _name(id_col: str, text_col: str, window: int):
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 c = Chunk(_unpack(blob.as_py()), id_col, text_col, window)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c.k1), number)), pa.array(c.minimiser.view(np.int64)), pa.array(c.k1), pa.array(c.k2), pa.array(c.least), pa.array(c.size)], schema=_NAMED)
+            tidy()
 
     return run
 
@@ -190,6 +191,7 @@ def _send(id_col: str, text_col: str, window: int, n_buckets: int):
                 edge, many = stretches(bucket[order])
                 rows = [(int(bucket[order[a]]), squeeze.compress(b"\n".join(strings[a : a + k])), about[a : a + k].tobytes()) for a, k in zip(edge.tolist(), many.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            tidy()
 
     return run
 
@@ -299,6 +301,7 @@ def _cut(id_col: str, text_col: str, window: int, with_text: bool, names: list[s
                     tail = [pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
                 cols = [*docs.columns, pa.array(np.diff(first).astype(np.int64)), pa.array(removed.astype(np.int64)), *tail]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+            tidy()
 
     return run
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, crc_bucket, per_text, span_hashes, text_array
+from .common import U64, crc_bucket, mix, per_text, span_hashes, text_array, tidy
 from .letters import Letters, blocks_of, gram_hashes, ranges
 
 MAX_TRAIN = 2500
@@ -75,31 +75,34 @@ class Sample:
     """Training texts as counts of distinct pieces: doc, piece and n of each pair, and the rows of each piece."""
 
     def __init__(self, texts: list[str]):
-        names: dict[int, int] = {}
-        bags, docs, ids, many = [], [], [], []
+        known, index = np.zeros(0, U64), np.zeros(0, np.int64)  # keys of the pieces so far, sorted, and their numbers
+        bags, sizes, docs, ids, many = [], [], [], [], []
         for numbers, parts in blocks_of(texts):
             words = Letters(parts, numbers)
             for text, example, distinct in words.slices():
                 # a word's pieces are named by the word's hash and their place in it
                 word, first, rows = subwords(words, example)
                 nth = np.arange(len(word)) - np.searchsorted(word, word)
-                own = np.empty(len(word), np.int64)
-                for i, name in enumerate(zip(words.hashes[example][word].tolist(), nth.tolist(), strict=True)):
-                    own[i] = names.setdefault(name, len(names))
-                    if own[i] == len(bags):
-                        bags.append(rows[first[i] : first[i + 1]])
+                keys = mix(words.hashes[example][word] + nth.astype(U64) * U64(0xD6E8FEB86659FD93))
+                new = np.flatnonzero(~np.isin(keys, known))
+                bags.append(rows[ranges(first[new], np.diff(first)[new])].astype(np.int32))
+                sizes.append(np.diff(first)[new])
+                every, number = np.concatenate([known, keys[new]]), np.concatenate([index, len(known) + np.arange(len(new))])
+                order = np.argsort(every)
+                known, index = every[order], number[order]
+                own = index[np.searchsorted(known, keys)]
                 pair, n = np.unique(text * len(example) + distinct, return_counts=True)
-                doc, w = pair // len(example), pair % len(example)
+                w = pair % len(example)
                 begin, size = np.searchsorted(word, w), np.bincount(word, minlength=len(example))[w]
-                docs.append(np.repeat(doc, size))
-                ids.append(own[ranges(begin, size)])
-                many.append(np.repeat(n, size))
+                docs.append(np.repeat(pair // len(example), size).astype(np.int32))
+                ids.append(own[ranges(begin, size)].astype(np.int32))
+                many.append(np.repeat(n, size).astype(np.float32))
         self.n_docs = len(texts)
-        self.first = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
-        self.rows = np.concatenate(bags) if bags else np.zeros(0, np.int64)
-        doc, self.piece, self.n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, ids, many))
+        every = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.first = np.concatenate([[0], np.cumsum(every(sizes, np.int64))]).astype(np.int64)
+        self.rows, doc, self.piece, self.n = every(bags, np.int32), every(docs, np.int32), every(ids, np.int32), every(many, np.float32)
         order = np.argsort(doc, kind="stable")
-        self.piece, self.n = self.piece[order], self.n[order].astype(float)
+        self.piece, self.n = self.piece[order], self.n[order]
         self.begin = np.searchsorted(doc[order], np.arange(self.n_docs + 1))
 
 
@@ -164,6 +167,8 @@ class Model:
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
                 param -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        del sample, state
+        tidy()
         rows, attention, out, bias = params
         model = cls(rows @ (out[:, 1] - out[:, 0]), rows @ attention, float(bias[1] - bias[0]))
         model._place(texts, y)
