@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass, field
@@ -15,21 +17,53 @@ from pyspark.sql.window import Window
 CRAWL_SCHEMA = T.StructType([T.StructField("Url", T.StringType(), False), T.StructField("OutLinks", T.ArrayType(T.StringType()))])
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temp folder of our own where all run on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("webloom.shared.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir isn't set: executors of a cluster need a folder that all of them share")
+        root = "file://" + tempfile.mkdtemp(prefix="webloom-")
+        spark.conf.set("webloom.shared.dir", root)
+    return root.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Run df and cut its lineage: a table in the shared checkpoint folder (a temp folder of our own only where none is set).
+    """Run df and cut its lineage: a table in the shared folder, removed when the application ends.
 
     A table and not checkpoint(), which keeps plan properties that grow with each round of a fixpoint.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("webloom.shared.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="webloom-")
-        spark.conf.set("webloom.shared.dir", root)
-    path = f"{root.rstrip('/')}/webloom-graph-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/webloom-graph-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone already; the folder is the cluster's to clear then
+        pass
+
+
+def numbered(df: DataFrame, name: str, *order, start: int = 1) -> DataFrame:
+    """df with the row's number in this (total) order, by no task that sees all rows: rows are dealt by range and sorted inside each
+    partition, and each partition begins where the earlier ones, of which only the sizes are collected, end."""
+    at = F.monotonically_increasing_id().alias("_at")
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", at))
+    part, nth = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    begin, offsets = start, []
+    for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        offsets.append((r.part, begin))
+        begin += r.n
+    if not offsets:
+        return placed.select(*df.columns, F.col("_at").alias(name))
+    known = df.sparkSession.createDataFrame(offsets, "_part long, _begin long")
+    return placed.join(F.broadcast(known), part == F.col("_part")).select(*df.columns, (F.col("_begin") + nth).alias(name))
+
+
 @dataclass
 class Graph:
     """edges are distinct; self-loops stay.  Degrees and distances are computed once and kept."""
@@ -55,10 +89,10 @@ class Graph:
 def from_crawl(rows: DataFrame) -> Graph:
     """Vertices are the crawled urls, numbered from 0 by url; links to other urls are dropped, repeated ones merge."""
     pages = rows.dropDuplicates(["Url"])
-    vertices = pages.select((F.row_number().over(Window.orderBy("Url")) - 1).cast("long").alias("id"), F.col("Url").alias("url"))
+    vertices = cut(numbered(pages.select(F.col("Url").alias("url")), "id", "url", start=0).select("id", "url"))
     links = pages.select("Url", F.explode("OutLinks").alias("link")).distinct()
     src, dst = vertices.select(F.col("id").alias("src"), F.col("url").alias("Url")), vertices.select(F.col("id").alias("dst"), F.col("url").alias("link"))
-    return Graph(cut(vertices), cut(links.join(src, "Url").join(dst, "link").select("src", "dst")))
+    return Graph(vertices, cut(links.join(src, "Url").join(dst, "link").select("src", "dst")))
 
 
 def from_edges(edges: DataFrame) -> Graph:

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..model import Graph, cut
+from ..model import Graph, cut, numbered
 
+#: Damping factors of the sweep, and the tolerance.
 DAMPINGS = (1.0, 0.99, 0.95, 0.90, 0.85, 0.70, 0.50)
 EPSILON = 1e-6
 #: Steps after which d = 1.0 counts as not converging.
@@ -49,39 +52,43 @@ def steps_to_run(d: float, epsilon: float = EPSILON) -> int:
 
 def pagerank(graph: Graph, dampings=(0.85,), norm: str = "l1", epsilon: float = EPSILON, max_iter: int | None = 100) -> Run:
     """Jacobi steps from 1/V; dangling mass is spread evenly.  A factor stops when its norm falls below epsilon, or after max_iter
-    (None: steps_to_run of the factor)."""
+    (None: steps_to_run of the factor).
+
+    A vertex has one row with a score for each factor, so a step is one join and one aggregate for all of them.  Links stay dealt by their source and
+    kept by the executors (lost ones are read again); only scores move.  Each step's scores are written to the shared folder, as a plan that
+    names the last scores twice would double with each step.
+    """
     spark = graph.vertices.sparkSession
     n = graph.vertices.count()
     if not n:
         return Run(spark.createDataFrame([], "d double, id long, score double"), [])
     degree = graph.degrees.select("id", "out_deg")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = cut(graph.edges.join(degree.withColumnRenamed("id", "src"), "src").select("src", "dst", (1.0 / F.col("out_deg")).alias("w")))
+    links = links.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
     base = cut(degree.select("id", (F.col("out_deg") == 0).alias("dangling")))
-    x = cut(base.crossJoin(spark.createDataFrame([(float(d),) for d in dampings], "d double")).select("d", "id", "dangling", F.lit(1.0 / n).alias("score")))
-    n_dangling = base.filter("dangling").count()
-    loose = {float(d): n_dangling / n for d in dampings}
+    running = {f"s{i}": float(d) for i, d in enumerate(dampings)}
+    x = base.select("id", "dangling", *[F.lit(1.0 / n).alias(c) for c in running])
+    loose = dict.fromkeys(running, base.filter("dangling").count() / n)
     done, trace, i = [], [], 0
-    last = {d: steps_to_run(d, epsilon) if max_iter is None else max_iter for d in loose}
-    while loose and i < max(last[d] for d in loose):
+    last = {c: steps_to_run(d, epsilon) if max_iter is None else max_iter for c, d in running.items()}
+    while running and i < max(last[c] for c in running):
         i += 1
-        # what a vertex gets besides its links, for each damping factor still running
-        given = F.create_map(*[F.lit(v) for d, m in loose.items() for v in (d, (1 - d) / n + d * m / n)])
-        got = links.join(x.select("d", F.col("id").alias("src"), "score"), "src").groupBy("d", F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("w")).alias("got"))
-        new = x.join(got, ["d", "id"], "left").select("d", "id", "dangling", F.col("score").alias("old"), (given[F.col("d")] + F.col("d") * F.coalesce("got", F.lit(0.0))).alias("score"))
+        got = links.join(x.select(F.col("id").alias("src"), *running), "src").groupBy(F.col("dst").alias("id")).agg(*[F.sum(F.col(c) * F.col("w")).alias(f"got_{c}") for c in running])
+        given = lambda c, d: F.lit((1 - d) / n + d * loose[c] / n) + d * F.coalesce(F.col(f"got_{c}"), F.lit(0.0))
+        new = x.join(got, "id", "left").select("id", "dangling", *[F.col(c).alias(f"old_{c}") for c in running], *[given(c, d).alias(c) for c, d in running.items()])
         new = cut(new)
-        rows = new.groupBy("d").agg(*[f(F.col("score"), F.col("old")).alias(k) for k, f in NORMS.items()], F.sum(F.when(F.col("dangling"), F.col("score")).otherwise(0.0)).alias("loose")).collect()
-        trace += [(r.d, i, r.l1, r.l2, r.linf) for r in rows]
-        ended = [r.d for r in rows if r[norm] < epsilon or i >= last[r.d]]
-        if ended:
-            done.append(new.filter(F.col("d").isin(ended)).select("d", "id", "score"))
-        loose = {r.d: r.loose for r in rows if r.d not in ended}
-        x = new.filter(F.col("d").isin(list(loose))).select("d", "id", "dangling", "score") if ended else new.select("d", "id", "dangling", "score")
-    if loose:
-        done.append(x.select("d", "id", "score"))
-    scores = done[0]
-    for more in done[1:]:
-        scores = scores.union(more)
-    return Run(scores, trace)
+        sums = [f(F.col(c), F.col(f"old_{c}")).alias(f"{c}_{k}") for c in running for k, f in NORMS.items()]
+        row = new.agg(*sums, *[F.sum(F.when(F.col("dangling"), F.col(c)).otherwise(0.0)).alias(f"{c}_loose") for c in running]).first()
+        trace += [(d, i, *[row[f"{c}_{k}"] for k in NORMS]) for c, d in running.items()]
+        ended = [c for c in running if row[f"{c}_{norm}"] < epsilon or i >= last[c]]
+        done += [cut(new.select(F.lit(running[c]).alias("d"), "id", F.col(c).alias("score"))) for c in ended]
+        running = {c: d for c, d in running.items() if c not in ended}
+        loose = {c: row[f"{c}_loose"] for c in running}
+        x = new.select("id", "dangling", *running)
+    links.unpersist()
+    done += [cut(x.select(F.lit(d).alias("d"), "id", F.col(c).alias("score"))) for c, d in running.items()]
+    return Run(reduce(DataFrame.union, done), trace)
 
 
 def trace_frame(spark, run: Run) -> DataFrame:
@@ -102,8 +109,12 @@ def top(scores: DataFrame, vertices: DataFrame, n: int = 20) -> DataFrame:
     return ranked.join(vertices, "id").select("rank", "id", "url", "score")
 
 
+def ranked(scores: DataFrame) -> DataFrame:
+    """(x, y): log10(rank) and log10(score) of positive scores, highest first."""
+    positive = scores.filter("score > 0").select("id", "score")
+    return numbered(positive, "rank", F.desc("score"), "id").select(F.log10(F.col("rank").cast("double")).alias("x"), F.log10("score").alias("y"))
+
+
 def rank_fit(scores: DataFrame) -> DataFrame:
     """Line through log10(score) by log10(rank) of positive scores."""
-    r = F.row_number().over(Window.orderBy(F.desc("score")))
-    points = scores.filter("score > 0").select(F.log10(r.cast("double")).alias("x"), F.log10("score").alias("y"))
-    return points.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+    return ranked(scores).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))

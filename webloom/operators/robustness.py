@@ -9,12 +9,12 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..model import Graph, cut
+from ..model import Graph, cut, numbered
 from .components import scc, sizes, wcc
 from .paths import all_pairs, per_vertex
 
+#: The fractions of vertices removed.
 FRACTIONS = (0.01, 0.02, 0.05, 0.10, 0.20, 0.30, 0.50)
 _SHIFT = 1 << 40
 
@@ -22,10 +22,10 @@ _SHIFT = 1 << 40
 def removal_order(graph: Graph, strategy: str, seed: int = 42) -> DataFrame:
     """(id, rank): "attack" by original in-degree, highest first, then by id; "random" by the md5 of seed and id."""
     if strategy == "attack":
-        w = Window.orderBy(F.desc("in_deg"), "id")
+        keyed = graph.degrees.select("id", (-F.col("in_deg")).alias("key"))
     else:
-        w = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary")), "id")
-    return graph.degrees.select("id", F.row_number().over(w).alias("rank"))
+        keyed = graph.degrees.select("id", F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary")).alias("key"))
+    return numbered(keyed, "rank", "key", "id").select("id", F.col("rank").cast("int"))
 
 
 def scenarios(n: int, fractions=FRACTIONS) -> list[tuple[int, float, int]]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..model import Graph
+from ..model import Graph, cut
 
 
 def basic(graph: Graph) -> DataFrame:
@@ -57,10 +57,15 @@ def power_law_mle(values: DataFrame, column: str, least_tail: int = 50) -> DataF
 
     Inside a run of equal values the empirical CDF is furthest from the model at the run's first or last value.
     """
-    h = histogram(values.filter(F.col(column) > 0), column)
-    pairs = h.select(F.col("value").alias("x_min")).join(h, F.col("value") >= F.col("x_min"))
-    tails = pairs.groupBy("x_min").agg(F.sum("n").alias("n_tail"), F.sum(F.col("n") * F.log(F.col("value") / F.col("x_min"))).alias("logs")).filter(F.col("n_tail") >= least_tail)
+    h = cut(histogram(values.filter(F.col(column) > 0), column))  # a row for each distinct value
+    # suffix sums give every tail's size and sum of logs in one pass
+    behind = Window.orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
+    tails = h.select(F.col("value").alias("x_min"), F.sum("n").over(behind).alias("n_tail"), F.sum(F.col("n") * F.log("value")).over(behind).alias("logs")).filter(F.col("n_tail") >= least_tail)
+    # the largest value alone has no spread, whatever rounding leaves of it
+    largest = h.agg(F.max("value")).first()[0]
+    tails = tails.withColumn("logs", F.when(F.col("x_min") < F.lit(largest), F.col("logs") - F.col("n_tail") * F.log("x_min")).otherwise(0.0))
     tails = tails.withColumn("gamma", F.when(F.col("logs") > 0, 1 + F.try_divide(F.col("n_tail"), F.col("logs"))).otherwise(F.lit(float("inf"))))
+    pairs = tails.select("x_min").join(h, F.col("value") >= F.col("x_min"))
     runs = pairs.join(tails, "x_min")
     upto = F.sum("n").over(Window.partitionBy("x_min").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     model = F.when(F.col("logs") > 0, 1 - F.pow(F.col("value") / F.col("x_min"), 1 - F.col("gamma"))).otherwise(F.lit(0.0))
