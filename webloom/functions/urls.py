@@ -53,6 +53,11 @@ def normalize(raw: Column, base: Column) -> Column:
     return run(raw, base)
 
 
+def host_of(url: str) -> str:
+    """domain() of a canonical url, here on the driver."""
+    return (urlsplit(url).hostname or "").lower()
+
+
 def domain(url: Column) -> Column:
     """Lower-case host of a canonical url, without user and port."""
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#]+)", 1))
@@ -88,25 +93,27 @@ def extract_links(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     return pages.withColumn("OutLinks", run(F.col(html_col), F.col(url_col)))
 
 
-def fast_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per raw href, (url, pos, href), inside the JVM; for pages whose hrefs are quoted."""
-    bare = F.regexp_replace(F.col(html_col), r"(?is)<!--.*?-->|<script\b.*?</script>", "")
-    found = F.regexp_extract_all(bare, F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), 1)
-    rows = pages.select(F.col(url_col).alias("url"), F.posexplode(found).alias("pos", "href"))
-    return rows.filter(F.trim("href") != "")
+@F.udtf(returnType="pos int, link string")
+class ExtractLinks:
+    """links_of() as a table function: SELECT * FROM pages, LATERAL extract_links(html, url), once registered by register()."""
 
+    def eval(self, html: str, base: str):
+        for pos, link in enumerate(links_of(html, base)):
+            yield pos, link
 
-def site_link(url: Column, href: Column) -> Column:
-    """Canonical form, inside the JVM, of a site-relative href without query or fragment, on a page with a default port."""
-    origin = F.regexp_extract(url, r"^([A-Za-z]+://[^/?#]+)", 1)
-    return F.regexp_replace(F.concat(F.lower(origin), href), "/+$", "")
 
+def register(spark) -> None:
+    spark.udtf.register("extract_links", ExtractLinks)
 
-def page_link(url: Column) -> Column:
-    """Canonical form, inside the JVM, of an absolute url with a default port whose query is sorted already."""
-    bare = F.regexp_replace(url, "#.*$", "")
-    origin = F.lower(F.regexp_extract(bare, r"^([A-Za-z]+://[^/?#]+)", 1))
-    return F.regexp_replace(F.concat(origin, F.regexp_replace(bare, r"^[A-Za-z]+://[^/?#]+", "")), "/+$", "")
+
+def fast_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per raw href, (url, pos, href), inside the JVM: an attribute of its own (not data-href), quoted or not; entities stay as they are."""
+    bare = F.regexp_replace(F.col(html_col), r"(?is)<!--.*?-->|<script\b.*?</script>", "")
+    # one group for the value with its quotes, which go after
+    found = F.regexp_extract_all(bare, F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), 1)
+    found = F.transform(found, lambda x: F.regexp_replace(x, r"""^["']|["']$""", ""))
+    rows = pages.select(F.col(url_col).alias("url"), F.posexplode(found).alias("pos", "href"))
+    return rows.filter(F.trim("href") != "")
 
 
 def shorten(url: Column, width: int = 60) -> Column:

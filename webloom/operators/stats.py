@@ -73,3 +73,11 @@ def power_law_mle(values: DataFrame, column: str, least_tail: int = 50) -> DataF
     gap = F.greatest(F.abs((F.col("upto") - F.col("n") + 1) / F.col("n_tail") - F.col("f")), F.abs(F.col("upto") / F.col("n_tail") - F.col("f")))
     ks = runs.groupBy("x_min", "n_tail", "gamma").agg(F.max(gap).alias("ks"))
     return ks.orderBy(F.round("ks", 12), "x_min").limit(1).select("gamma", "ks", F.col("x_min").cast("double").alias("x_min"), "n_tail")
+
+
+def tail_cdf(values: DataFrame, column: str, mle: DataFrame) -> DataFrame:
+    """(value, empirical, fitted) of the tail that power_law_mle found: the share of the tail up to each value, and the model's."""
+    h = histogram(values.filter(F.col(column) > 0), column).crossJoin(mle.select("gamma", "x_min", "n_tail")).filter("value >= x_min")
+    upto = F.sum("n").over(Window.partitionBy("x_min").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    model = F.when(F.col("gamma") < float("inf"), 1 - F.pow(F.col("value") / F.col("x_min"), 1 - F.col("gamma"))).otherwise(F.lit(0.0))
+    return h.select("value", (upto / F.col("n_tail")).alias("empirical"), model.alias("fitted"))

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import service
 from ..functions import robots, urls
 from ..model import from_crawl, part_sequence
 from ..operators import clustering, components, connectivity, paths, pagerank, robustness, stats
+from ..series import together
 from ..sources import crawl as crawling
 
 _graphs: dict = {}
 
 #: The robots text that the robots queries apply to every host of `pages`.
 ROBOTS = "User-agent: Other\nDisallow: /en\nAllow: /en/4\n# Disallow: /fr\n Disallow: /de\ndisallow: /es\nDisallow: /*.html$\n"
+#: The robots text of the site that the site queries crawl.
+SITE_ROBOTS = "User-agent: *\nDisallow: /p/*7$\n"
 #: Threads and pages per second, for the speedup series.
 THROUGHPUT = [(1, 12.5), (2, 20.0), (4, 25.0), (8, 50.0), (16, 50.0), (32, 40.0)]
 
@@ -156,7 +160,50 @@ def active_degrees(s, d):
     return type(g)(active, e).degrees
 
 
+def run_of(name: str, graph):
+    """A whole analysis, all its series in one frame."""
+    return lambda s, d: together(service.RUNS[name](graph(s, d)))
+
+
+def power_law_fits(s, d):
+    g = dense(s, d)
+    return together(service.power_law_fits(g, "in_deg", "in") | service.power_law_fits(g, "out_deg", "out"))
+
+
+def site_pages(s, d):
+    """Stored pages of one site, a page for each part of the dense part sequence, that links to the parts that follow it; some links lead elsewhere,
+    some pages aren't HTML or are broken."""
+    g = dense(s, d)
+    links = g.edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("to"))
+    body = F.array_join(F.transform(F.coalesce("to", F.array().cast("array<bigint>")), lambda x: F.concat(F.lit('<a href="/p/'), x.cast("string"), F.lit('/#top">x</a><a href="http://other/">y</a>'))), "")
+    return g.vertices.select("id").join(links, "id", "left").select(F.concat(F.lit("http://Site/p/"), F.col("id").cast("string")).alias("url"), body.alias("html"),
+        F.when(F.col("id") % 10 == 3, 404).otherwise(200).alias("status"), F.when(F.col("id") % 10 == 5, "image/png").otherwise("text/html; charset=utf-8").alias("content_type"))
+
+
+def _site(s, d):
+    g = dense(s, d)
+    if "site" not in g.kept:
+        files = s.createDataFrame([("site", SITE_ROBOTS), ("other", "Disallow:")], "host string, content string")
+        top = g.degrees.filter("id % 10 not in (3, 5, 7)").orderBy(F.desc("out_deg"), "id").first()
+        g.kept["site"] = crawling.crawl_site(site_pages(s, d), files, f"HTTP://site:80/p/{top.id}/", max_pages=500)
+    return g.kept["site"]
+
+
 QUERIES = {
+    "run_basic_statistics": run_of("basic_statistics", dense),
+    "run_scc_analysis": run_of("scc", dense),
+    "run_wcc_analysis": run_of("wcc", sparse),
+    "run_bow_tie_analysis": run_of("bow_tie", dense),
+    "build_condensation": run_of("condensation", dense),
+    "run_bfs_analysis": run_of("bfs", sparse),
+    "run_clustering_analysis": run_of("clustering", supp),
+    "run_page_rank_analysis": run_of("page_rank", dense),
+    "run_connectivity_analysis": run_of("connectivity", sparse),
+    "run_robustness_analysis": run_of("robustness", sparse),
+    "run_power_law_fits": power_law_fits,
+    "site_crawl": lambda s, d: _site(s, d).select("Url", "level"),
+    "site_outlinks": lambda s, d: _site(s, d).select("Url", F.explode("OutLinks").alias("link")),
+    "site_graph_edges": lambda s, d: from_crawl(_site(s, d).select("Url", "OutLinks")).edges,
     "link_extract": link_extract,
     "link_extract_html": link_extract_html,
     "url_normalize": url_normalize,

@@ -227,3 +227,98 @@ ORACLE_SQL = {
     "robustness_random": _robust("random"),
     "speedup_series": "SELECT threads, throughput, round(throughput / first_value(throughput) OVER (ORDER BY threads), 6) AS speedup FROM (VALUES " + ", ".join(f"({a}, {b}::DOUBLE)" for a, b in THROUGHPUT) + ") t(threads, throughput)",
 }
+
+
+# ----------------------------------------------------------------------- analyses
+
+
+def _tidy(part: str, sql: str, key: str = "NULL", x: str = "NULL", y: str = "NULL", places: int = 6) -> str:
+    return f"SELECT '{part}' AS part, ({key})::VARCHAR AS key, round(({x})::DOUBLE, {places}) AS x, round(({y})::DOUBLE, {places}) AS y FROM ({sql})"
+
+
+def _facts(part: str, sql: str, *columns: str, places: int = 6) -> str:
+    names, values = ", ".join(f"'{c}'" for c in columns), ", ".join(f"{c}::DOUBLE" for c in columns)
+    return f"SELECT '{part}' AS part, unnest([{names}]) AS key, NULL::DOUBLE AS x, round(unnest([{values}]), {places}) AS y FROM ({sql})"
+
+
+def _all(*parts: str) -> str:
+    return " UNION ALL ".join(f"({p})" for p in parts)
+
+
+def _fits(column: str, name: str) -> list[str]:
+    o = ORACLE_SQL
+    points = _with(DENSE, _ccdf(column)) + "SELECT k, x AS log_k, y AS log_ccdf FROM cc"
+    exact = _with(DENSE, _ccdf(column)) + "SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM cc HAVING var_pop(x) > 0 AND var_pop(y) > 0"
+    mle = _mle(column).replace("round(gamma, 6) AS gamma, round(ks, 6) AS ks", "gamma, ks")
+    cdf = f"WITH m AS ({mle}), {DENSE.replace('e AS', 'e2 AS').replace('FROM e', 'FROM e2')} SELECT {column} AS value, (SELECT count(*) FROM deg b WHERE b.{column} >= x_min AND b.{column} <= a.{column}) / n_tail AS empirical, 1 - pow({column} / x_min, 1 - gamma) AS fitted FROM (SELECT DISTINCT {column} FROM deg) a, m WHERE {column} >= x_min"
+    return [
+        _facts(f"{name}_ols", o[f"powerlaw_ols_{name}"], "gamma", "r2", "slope", "intercept"), _tidy(f"{name}_ols_points", points, x="log_k", y="log_ccdf"), _tidy(f"{name}_ols_line", f"SELECT log_k, slope * log_k + intercept AS v FROM ({points}), ({exact})", x="log_k", y="v"),
+        _facts(f"{name}_mle", o[f"powerlaw_mle_{name}"], "gamma", "x_min", "ks", "n_tail"), _tidy(f"{name}_mle_empirical", cdf, x="value", y="empirical"), _tidy(f"{name}_mle_fitted", cdf, x="value", y="fitted"),
+    ]
+
+
+def _components(kind: str) -> str:
+    return _all(_facts("report", f"SELECT count(*) AS n_components, max(size) AS largest FROM ({ORACLE_SQL[kind]})", "n_components", "largest"), _tidy("sizes", f"SELECT size, count(*) AS n FROM ({ORACLE_SQL[kind]}) GROUP BY size", x="size", y="n"))
+
+
+def _analyses() -> dict[str, str]:
+    o = ORACLE_SQL
+    raw_decay = _S_PAIRS + "SELECT regr_slope(y, k) AS slope, regr_intercept(y, k) AS intercept FROM (SELECT k, log10(count(*)) AS y FROM p WHERE k > 0 GROUP BY k)"
+    raw_ck = _CLUS + "SELECT log10(k) AS x, log10(avg_c) AS y FROM cd WHERE k > 0 AND avg_c > 0"
+    ck_fit = f"SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM ({raw_ck})"
+    ranks = _RANK + "SELECT log10(row_number() OVER (ORDER BY x DESC, id)) AS x, log10(x) AS y FROM sc WHERE x > 0"
+    rank_fit = f"SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM ({ranks})"
+    errors = _RANK + "SELECT iter, norm, err FROM (SELECT iter, unnest(['l1', 'l2', 'linf']) AS norm, unnest([l1, l2, linf]) AS err FROM t) u WHERE iter <= (SELECT min(w.iter) FROM (SELECT iter, unnest(['l1', 'l2', 'linf']) AS norm, unnest([l1, l2, linf]) AS err FROM t) w WHERE w.norm = u.norm AND w.err < 1e-6)"
+    top = _RANK + "SELECT row_number() OVER (ORDER BY round(x, 12) DESC, id) AS rank, id, x FROM sc ORDER BY rank LIMIT 20"
+    robust = ["removed", "largest_wcc", "largest_scc", "rel_wcc", "rel_scc", "avg_distance", "diameter", "avg_in", "max_in", "avg_out", "max_out"]
+    return {
+        "run_power_law_fits": _all(*_fits("in_deg", "in"), *_fits("out_deg", "out")),
+        "run_basic_statistics": _all(
+            _facts("stats", o["graph_stats"].replace("sum(in_deg)::BIGINT AS in_sum", "sum(in_deg)::BIGINT AS in_sum, sum(out_deg)::BIGINT AS out_sum"), "v", "e", "in_sum", "out_sum", "avg_degree", "density", "dangling", places=9),
+            _tidy("largest_in", o["graph_stats"], "max_in_url", y="max_in"), _tidy("largest_out", o["graph_stats"], "max_out_url", y="max_out"), _tidy("dangling_pages", o["dangling"], "id", x="id"),
+            *[_tidy(f"{n}_degree", o[f"{n}_degree_hist"], x="value", y="n") for n in ("out", "in")], *[_tidy(f"{n}_degree_loglog", o[f"degree_loglog_{n}"], x="log_k", y="log_n") for n in ("out", "in")],
+            *_fits("in_deg", "in"), *_fits("out_deg", "out"),
+        ),
+        "run_scc_analysis": _components("scc_sizes"),
+        "run_wcc_analysis": _components("wcc_sizes"),
+        "run_bow_tie_analysis": _all(_tidy("report", f"SELECT r.region, coalesce(n, 0) AS n FROM (VALUES ('CORE'), ('IN'), ('OUT'), ('TENDRILS')) r(region) LEFT JOIN ({o['bowtie_counts']}) c ON c.region = r.region", "region", y="n"), _tidy("out_pages", f"SELECT id FROM ({o['bowtie']}) WHERE region = 'OUT'", "id", x="id")),
+        "build_condensation": _all(_facts("report", f"SELECT (SELECT count(*) FROM ({o['condensation_nodes']})) AS dag_nodes, (SELECT count(*) FROM ({o['condensation_edges']})) AS dag_edges", "dag_nodes", "dag_edges"), _tidy("dag_edges", o["condensation_edges"], x="src_comp", y="dst_comp")),
+        "run_bfs_analysis": _all(
+            _facts("report", o["bfs_summary"], "avg_distance", "diameter", "radius", "reachable_pairs", "ratio_ln", "ratio_log2"), _facts("report", o["distance_decay_fit"], "slope", "r2"),
+            _tidy("first_avg_distance", o["bfs_vertex"] + " ORDER BY id LIMIT 10", x="id", y="avg_dist"), _tidy("first_eccentricity", o["bfs_vertex"] + " ORDER BY id LIMIT 10", x="id", y="ecc"),
+            _tidy("eccentricity", o["eccentricity_hist"], x="value", y="n"), _tidy("pair_distance", o["pair_distance_hist"], x="distance", y="pairs"),
+            _tidy("pair_distance_fitted", f"SELECT distance, pow(10, slope * distance + intercept) AS v FROM ({o['pair_distance_hist']}), ({raw_decay})", x="distance", y="v", places=3),
+        ),
+        "run_clustering_analysis": _all(
+            _facts("report", f"SELECT global_c, slope, pow(10, intercept) AS coefficient FROM ({o['clustering_global']}), ({ck_fit})", "global_c", "slope", "coefficient"), _tidy("local", o["clustering_hist"], x="bin", y="n"),
+            _tidy("by_degree_loglog", raw_ck, x="x", y="y"), _tidy("by_degree_line", f"SELECT x, slope * x + intercept AS v FROM ({raw_ck}), ({ck_fit})", x="x", y="v"),
+        ),
+        "run_page_rank_analysis": _all(
+            _tidy("report", f"SELECT max(iter) AS n FROM ({errors}) WHERE norm = 'l1'", "'iterations'", y="n"), _facts("report", rank_fit, "slope", places=4),
+            _tidy("iterations", o["pagerank_sweep"], "norm", "d", "iterations"), _tidy("iterations_log", o["pagerank_sweep"], "norm", "d", "log10(iterations)"),
+            _tidy("ranks_loglog", ranks, x="x", y="y"), _tidy("ranks_line", f"SELECT x, slope * x + intercept AS v FROM (SELECT unnest([min(x), max(x)]) AS x FROM ({ranks})), ({rank_fit})", x="x", y="v", places=4),
+            _tidy("convergence", errors, "norm", "iter", "log10(greatest(err, 1e-15))", 4), _tidy("top", top, "id", "rank", "x * 1e6", 3),
+        ),
+        "run_connectivity_analysis": _all(
+            _facts("report", f"SELECT (SELECT count(*) FROM ({o['articulation_points']})) AS articulation_points, (SELECT count(*) FROM ({o['bridges']})) AS bridges", "articulation_points", "bridges"),
+            _tidy("first_points", f"SELECT id FROM ({o['articulation_points']}) ORDER BY id LIMIT 10", x="id"), _tidy("first_bridges", f"SELECT u, v FROM ({o['bridges']}) ORDER BY u, v LIMIT 10", x="u", y="v"),
+        ),
+        "run_robustness_analysis": _all(*[_tidy(f"{s}_{c}", o[f"robustness_{s}"], f"'{s}'", "fraction", c) for s in ("random", "attack") for c in robust]),
+    }
+
+
+ORACLE_SQL |= _analyses()
+#: The crawl by its definition: pages that may be fetched, breadth first from the one with most links.
+_SITE = _rec(
+    DENSE,
+    "ok AS MATERIALIZED (SELECT id FROM v WHERE id % 10 NOT IN (3, 5, 7))",
+    "seed AS (SELECT id FROM ok JOIN deg USING (id) ORDER BY out_deg DESC, id LIMIT 1)",
+    """c(id, level) USING KEY (id) AS (SELECT id, 0 FROM seed UNION
+      SELECT DISTINCT e.dst, c.level + 1 FROM c JOIN e ON e.src = c.id JOIN ok ON ok.id = e.dst LEFT JOIN recurring.c AS r ON r.id = e.dst WHERE r.id IS NULL)""",
+    "site AS MATERIALIZED (SELECT id, level, 'http://site/p/' || id AS url FROM c ORDER BY level, url LIMIT 500)",
+)
+ORACLE_SQL |= {
+    "site_crawl": _SITE + "SELECT url AS Url, level FROM site",
+    "site_outlinks": _SITE + "SELECT url AS Url, 'http://site/p/' || dst AS link FROM site JOIN e ON e.src = site.id",
+    "site_graph_edges": _SITE.rstrip() + ", n AS (SELECT id, row_number() OVER (ORDER BY url) - 1 AS i FROM site) SELECT a.i AS src, b.i AS dst FROM e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst",
+}
