@@ -124,3 +124,75 @@ def test_page_queries_take_all_links_and_pages(spark, tmp_path):
     ids = {u: i for i, u in enumerate(sorted([p, q, z, other]))}
     assert rows(catalogue.page_graph_edges(spark, str(tmp_path))) == sorted((ids[a], ids[b]) for a, b in links if b in ids)
     assert rows(catalogue.same_host_links(spark, str(tmp_path))) == [("h", 6, 5)]
+
+
+def directed(n, m, seed, loops=True):
+    import random
+
+    r = random.Random(seed)
+    pairs = {(r.randrange(n), r.randrange(n)) for _ in range(m)} | {(0, i) for i in range(1, n)}
+    return sorted((a, b) for a, b in pairs if loops or a != b)
+
+
+def test_clustering_of_hubs_and_loops_by_definition(spark):
+    edges = directed(14, 60, 5)
+    g, there = graph(spark, edges), set(edges)
+    outs = {v: {b for a, b in edges if a == v} for v in range(14)}
+    want = []
+    for v, near in sorted(outs.items()):
+        k = len(near)
+        want.append((v, k, -1.0 if k < 2 else sum((a, b) in there for a in near for b in near) / (k * (k - 1))))
+    assert [(i, k, round(c, 9)) for i, k, c in rows(clustering.local(g))] == [(i, k, round(c, 9)) for i, k, c in want]
+    closed = sum((a, b) in there for near in outs.values() for a in near for b in near if a < b)
+    every = sum(len(near) * (len(near) - 1) // 2 for near in outs.values())
+    assert tuple(clustering.global_(g).first())[:2] == (closed, every)
+
+
+def parts(ids, edges):
+    left, n = set(ids), 0
+    while left:
+        n, todo = n + 1, [left.pop()]
+        while todo:
+            v = todo.pop()
+            near = {b if a == v else a for a, b in edges if v in (a, b)} & left
+            left -= near
+            todo += near
+    return n
+
+
+@pytest.mark.parametrize("edges", [
+    [(i, i + 1) for i in range(9)],
+    [(0, i) for i in range(1, 7)] + [(1, 2), (3, 4), (6, 7), (7, 8), (8, 6), (8, 8), (20, 21), (21, 20)],
+    [(3, 9), (9, 4), (4, 3), (4, 1), (1, 7), (7, 2), (2, 1), (7, 5), (5, 6), (0, 6), (0, 5), (8, 8)],
+])
+def test_articulation_points_and_bridges_by_removal(spark, edges):
+    g = graph(spark, edges)
+    ids = sorted({x for e in edges for x in e})
+    simple = sorted({(min(e), max(e)) for e in edges if e[0] != e[1]})
+    base = parts(ids, simple)
+    assert rows(connectivity.bridges(g)) == [e for e in simple if parts(ids, [x for x in simple if x != e]) > base]
+    cuts = [(v,) for v in ids if parts([i for i in ids if i != v], [e for e in simple if v not in e]) > base]
+    assert rows(connectivity.articulation_points(g)) == cuts
+
+
+def test_searches_over_many_levels(spark):
+    g = graph(spark, [(i, i + 1) for i in range(11)])
+    assert rows(components.reach(g.edges, spark.createDataFrame([(4,)], "id long"))) == [(i,) for i in range(4, 12)]
+    assert rows(paths.single_source(g, 2)) == [(i, i - 2 if i >= 2 else -1, i - 1 if i > 2 else None) for i in range(12)]
+    assert rows(crawl.crawl(g.edges, 3, None)) == [(i, i - 3) for i in range(3, 12)]
+
+
+def test_stated_sources_only(spark):
+    g = graph(spark, [(0, 1), (1, 2), (2, 3), (3, 0)])
+    some = spark.createDataFrame([(0,), (0,), (99,)], "id long")
+    assert rows(paths.pairs_of(g, some)) == [(0, 0, 0), (0, 1, 1), (0, 2, 2), (0, 3, 3)]
+    assert rows(paths.betweenness(g, some)) == [(0, 0.0), (1, 2.0), (2, 1.0), (3, 0.0)]
+
+
+def test_running_sums_across_partitions(spark):
+    from webloom.model import running_sums
+
+    data = spark.createDataFrame([(i % 5, i, i + 1) for i in range(60)], "g long, i long, w long").repartition(4)
+    ordered = sorted((i % 5, i, i + 1) for i in range(60))
+    want = [(a, b, c, sum(x[2] for x in ordered[:n])) for n, (a, b, c) in enumerate(ordered)]
+    assert rows(running_sums(data, "before", "w", "g", "i")) == want

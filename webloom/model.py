@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +64,37 @@ def numbered(df: DataFrame, name: str, *order, start: int = 1) -> DataFrame:
     return placed.join(F.broadcast(known), part == F.col("_part")).select(*df.columns, (F.col("_begin") + nth).alias(name))
 
 
+def running_sums(df: DataFrame, name: str, value: str, *order) -> DataFrame:
+    """df with the sum of `value` over all earlier rows in this (total) order, dealt by range as numbered() is, so that no task sees a whole group."""
+    at = F.monotonically_increasing_id().alias("_at")
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", at).withColumn("_part", F.shiftright("_at", 33)))
+    begin, offsets = 0, []
+    for r in placed.groupBy("_part").agg(F.sum(value).alias("total")).orderBy("_part").collect():
+        offsets.append((r["_part"], begin))
+        begin += r.total
+    earlier = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = df.sparkSession.createDataFrame(offsets, "_part long, _begin long")
+    return placed.withColumn("_earlier", earlier).join(F.broadcast(known), "_part").select(*df.columns, (F.col("_begin") + F.col("_earlier")).alias(name))
+
+
+class Levels:
+    """The rows that a search has seen, level by level.  Tables of like age are merged as a binary counter carries: a row is rewritten as often
+    as the logarithm of the number of levels says, and a plan over all rows has no more scans than that."""
+
+    def __init__(self, first: DataFrame):
+        self.tables = [(0, first)]
+
+    def add(self, level: DataFrame) -> None:
+        age = 0
+        while self.tables and self.tables[-1][0] == age:
+            level = cut(self.tables.pop()[1].unionByName(level))
+            age += 1
+        self.tables.append((age, level))
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [t for _, t in self.tables])
+
+
 @dataclass
 class Graph:
     """edges are distinct; self-loops stay.  Degrees and distances are computed once and kept."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Graph, cut
+from ..model import Graph, Levels, cut
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -40,12 +40,13 @@ def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(id): all that sources(id) reach, themselves included."""
-    seen = front = cut(sources.select("id").distinct())
+    front = cut(sources.select("id").distinct())
+    seen = Levels(front)
     while True:
-        front = cut(edges.join(front.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
+        front = cut(edges.join(front.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct().join(seen.rows(), "id", "left_anti"))
         if front.isEmpty():
-            return seen
-        seen = cut(seen.union(front))
+            return seen.rows()
+        seen.add(front)
 
 
 def scc(vertices: DataFrame, edges: DataFrame) -> DataFrame:

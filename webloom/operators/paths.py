@@ -7,39 +7,44 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Graph, cut
+from ..model import Graph, Levels, cut
 
 
 def single_source(graph: Graph, source: int) -> DataFrame:
     """(id, dist, parent): dist -1 and parent null where unreachable; of several discoverers the smallest is the parent."""
-    front = seen = cut(graph.vertices.filter(F.col("id") == source).select("id", F.lit(0).alias("dist"), F.lit(None).cast("long").alias("parent")))
-    k = 0
+    front = cut(graph.vertices.filter(F.col("id") == source).select("id", F.lit(0).alias("dist"), F.lit(None).cast("long").alias("parent")))
+    seen, k = Levels(front), 0
     while True:
         k += 1
         step = graph.edges.join(front.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        front = cut(step.join(seen, "id", "left_anti").select("id", F.lit(k).alias("dist"), "parent"))
+        front = cut(step.join(seen.rows(), "id", "left_anti").select("id", F.lit(k).alias("dist"), "parent"))
         if front.isEmpty():
             break
-        seen = cut(seen.union(front))
-    return graph.vertices.select("id").join(seen, "id", "left").select("id", F.coalesce("dist", F.lit(-1)).alias("dist"), "parent")
+        seen.add(front)
+    return graph.vertices.select("id").join(seen.rows(), "id", "left").select("id", F.coalesce("dist", F.lit(-1)).alias("dist"), "parent")
 
 
 def all_pairs(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(s, d, k): the hop distance of every d that s reaches, s itself included with 0; one fixpoint for all sources."""
     links = edges.filter("src <> dst")
-    front = cut(sources.select(F.col("id").alias("s"), F.col("id").alias("d")))
-    levels = [front.withColumn("k", F.lit(0))]
-    seen, k = front, 0
+    front = cut(sources.select(F.col("id").alias("s"), F.col("id").alias("d"), F.lit(0).alias("k")))
+    seen, k = Levels(front), 0
     while True:
         k += 1
-        front = cut(front.join(links, F.col("d") == F.col("src")).select("s", F.col("dst").alias("d")).distinct().join(seen, ["s", "d"], "left_anti"))
+        step = front.join(links, F.col("d") == F.col("src")).select("s", F.col("dst").alias("d")).distinct()
+        front = cut(step.join(seen.rows(), ["s", "d"], "left_anti").withColumn("k", F.lit(k)))
         if front.isEmpty():
-            return cut(reduce(DataFrame.union, levels))
-        levels.append(front.withColumn("k", F.lit(k)))
-        seen = seen.union(front)
+            return seen.rows()
+        seen.add(front)
 
 
-def pairs_of(graph: Graph) -> DataFrame:
+def pairs_of(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
+    """Distances from sources(id), or from all vertices (V^2 rows where all reach all), which are kept.
+
+    Means and shares over a random set of sources estimate those over all at a cost in proportion to the set.
+    """
+    if sources is not None:
+        return all_pairs(graph.edges, sources.join(graph.vertices, "id", "left_semi").select("id").distinct())
     return graph.once("pairs", lambda: all_pairs(graph.edges, graph.vertices))
 
 
@@ -70,18 +75,22 @@ def decay_fit(pairs: DataFrame) -> DataFrame:
     return h.agg(F.regr_slope(F.log10("pairs"), "distance").alias("slope"), F.regr_intercept(F.log10("pairs"), "distance").alias("intercept"), F.regr_r2(F.log10("pairs"), "distance").alias("r2"))
 
 
-def betweenness(graph: Graph) -> DataFrame:
-    """(id, score): directed, unnormalised, end points left out; all sources in one pass forward and one back."""
+def betweenness(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
+    """(id, score): directed, unnormalised, end points left out; all sources in one pass forward and one back.
+
+    With sources(id) only shortest paths that start there count; times vertices over sources, a random set of them estimates the whole.
+    """
     links = graph.edges.filter("src <> dst")
-    front = cut(graph.vertices.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("sigma")))
-    levels, seen = [front], front.select("s", "v")
+    start = graph.vertices if sources is None else graph.vertices.join(sources.select("id"), "id", "left_semi")
+    front = cut(start.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("sigma")))
+    levels, seen = [front], Levels(front.select("s", "v"))
     while True:
         step = front.join(links, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
-        front = cut(step.join(seen, ["s", "v"], "left_anti"))
+        front = cut(step.join(seen.rows(), ["s", "v"], "left_anti"))
         if front.isEmpty():
             break
         levels.append(front)
-        seen = seen.union(front.select("s", "v"))
+        seen.add(front.select("s", "v"))
     below = levels[-1].withColumn("delta", F.lit(0.0))
     sums = []
     for level in reversed(levels[:-1]):

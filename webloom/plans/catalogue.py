@@ -110,6 +110,18 @@ def crawl_bfs(s, d):
     return crawling.crawl(g.edges, seed, 500).select(F.col("url").alias("id"), "level")
 
 
+def crawl_all(s, d):
+    """The crawl of crawl_bfs without a page budget: to the last page its seed reaches."""
+    g = dense(s, d)
+    return crawling.crawl(g.edges, g.vertices.agg(F.min("id")).first()[0], None).select(F.col("url").alias("id"), "level")
+
+
+def reach_core(s, d, forward: bool):
+    """What the whole largest strong component reaches, or what reaches it."""
+    g = dense(s, d)
+    return components.reach(g.edges if forward else g.edges.selectExpr("dst as src", "src as dst"), components.largest(components.scc_of(g)))
+
+
 def politeness(s, d):
     rows = _pages(s, d).select("page_id", urls.domain(F.col("url")).alias("host"), F.lpad("page_id", 12, "0").alias("key"))
     return crawling.schedule(rows, 0.5, "host", "key").select("page_id", "start_s")
@@ -216,6 +228,7 @@ QUERIES = {
     "page_graph_edges": page_graph_edges,
     "host_path_edges": _host_paths,
     "crawl_bfs": crawl_bfs,
+    "crawl_all": crawl_all,
     "politeness_schedule": politeness,
     "graph_edges": lambda s, d: dense(s, d).edges,
     "graph_stats": lambda s, d: _r(stats.basic(dense(s, d)), "avg_degree", "density", places=9),
@@ -240,6 +253,8 @@ QUERIES = {
     "condensation_edges": lambda s, d: components.condensation(dense(s, d))[1],
     "reach_forward": lambda s, d: components.reach(sparse(s, d).edges, sparse(s, d).vertices.orderBy("id").limit(3)),
     "reach_backward": lambda s, d: components.reach(sparse(s, d).edges.selectExpr("dst as src", "src as dst"), sparse(s, d).vertices.orderBy("id").limit(3)),
+    "reach_core_forward": lambda s, d: reach_core(s, d, True),
+    "reach_core_backward": lambda s, d: reach_core(s, d, False),
     "bowtie": lambda s, d: components.bowtie(dense(s, d)),
     "bowtie_counts": bowtie_counts,
     "bfs_single_source": lambda s, d: paths.single_source(sparse(s, d), sparse(s, d).vertices.agg(F.min("id")).first()[0]),

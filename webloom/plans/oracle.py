@@ -172,6 +172,7 @@ ORACLE_SQL = {
     "page_graph_edges": f"WITH {_HREFS}, pu AS (SELECT row_number() OVER (ORDER BY u) - 1 AS id, u FROM (SELECT DISTINCT {_PAGE} AS u FROM links)) SELECT DISTINCT a.id AS src, b.id AS dst FROM (SELECT {_PAGE} AS f, {_LINK} AS t FROM links) x JOIN pu a ON a.u = f JOIN pu b ON b.u = t",
     "host_path_edges": f"WITH {_HREFS} SELECT DISTINCT {_host('url')} AS src, href AS dst FROM links",
     "crawl_bfs": _rec(DENSE, PAIRS) + "SELECT d AS id, k AS level FROM p WHERE s = (SELECT min(id) FROM v) ORDER BY k, d LIMIT 500",
+    "crawl_all": _rec(DENSE, PAIRS) + "SELECT d AS id, k AS level FROM p WHERE s = (SELECT min(id) FROM v)",
     "politeness_schedule": f"SELECT page_id, 0.5::DOUBLE * (row_number() OVER (PARTITION BY {_host('url')} ORDER BY page_id) - 1) AS start_s FROM pages",
     "graph_edges": _DEG + "SELECT src, dst FROM e",
     "graph_stats": _DEG + """SELECT count(*) AS v, sum(out_deg)::BIGINT AS e, sum(in_deg)::BIGINT AS in_sum, max(in_deg) AS max_in, max(out_deg) AS max_out, arg_max(id::VARCHAR, (in_deg, -id)) AS max_in_url,
@@ -197,6 +198,8 @@ ORACLE_SQL = {
     "condensation_edges": _D_SCC + "SELECT DISTINCT a.comp AS src_comp, b.comp AS dst_comp FROM e JOIN scc a ON a.id = src JOIN scc b ON b.id = dst WHERE a.comp <> b.comp",
     "reach_forward": _rec(SPARSE, PAIRS) + "SELECT DISTINCT d AS id FROM p WHERE s IN (SELECT id FROM v ORDER BY id LIMIT 3)",
     "reach_backward": _rec(SPARSE, PAIRS) + "SELECT DISTINCT s AS id FROM p WHERE d IN (SELECT id FROM v ORDER BY id LIMIT 3)",
+    "reach_core_forward": _BOW + "SELECT id FROM o",
+    "reach_core_backward": _BOW + "SELECT id FROM i",
     "bowtie": _BOW + "SELECT id, region FROM bt",
     "bowtie_counts": _BOW + "SELECT region, count(*) AS n FROM bt GROUP BY region",
     "bfs_single_source": _rec(SPARSE, PAIRS, "one AS MATERIALIZED (SELECT d, k FROM p WHERE s = (SELECT min(id) FROM v))") + "SELECT v.id, coalesce(o.k, -1) AS dist, (SELECT min(e.src) FROM e JOIN one f ON f.d = e.src WHERE e.dst = v.id AND f.k = o.k - 1) AS parent FROM v LEFT JOIN one o ON o.d = v.id",

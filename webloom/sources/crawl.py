@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import robots, urls
-from ..model import CRAWL_SCHEMA, cut, numbered
+from ..model import CRAWL_SCHEMA, Levels, cut, numbered
 
 
 def save_json(rows: DataFrame, path: str, single: bool = False) -> None:
@@ -27,27 +27,27 @@ def load_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFr
     return spark.read.schema(CRAWL_SCHEMA).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
 
 
-def crawl(links: DataFrame, seed, max_pages: int = 1000, pages: DataFrame | None = None) -> DataFrame:
+def crawl(links: DataFrame, seed, max_pages: int | None = 1000, pages: DataFrame | None = None) -> DataFrame:
     """(url, level) of a breadth-first crawl over stored links(src, dst) from `seed`.
 
     A url enters the frontier once; pages(url), if given, are the ones that can be fetched.  Exactly the first max_pages by (level, url) are
-    kept, so the crawl stops at the level at which that many are known.
+    kept, so the crawl stops at the level at which that many are known; with None it goes on to the last reachable page.
     """
     spark = links.sparkSession
     kind = links.schema["src"].dataType
     front = spark.createDataFrame([(seed,)], "url " + kind.simpleString())
     front = cut(front if pages is None else front.join(pages.select("url"), "url", "left_semi"))
-    seen, n, level = front.withColumn("level", F.lit(0)), front.count(), 0
-    while n < max_pages:
+    seen, n, level = Levels(front.withColumn("level", F.lit(0))), front.count(), 0
+    while max_pages is None or n < max_pages:
         level += 1
-        reached = links.join(front.withColumnRenamed("url", "src"), "src").select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
+        reached = links.join(front.withColumnRenamed("url", "src"), "src").select(F.col("dst").alias("url")).distinct().join(seen.rows(), "url", "left_anti")
         front = cut(reached if pages is None else reached.join(pages.select("url"), "url", "left_semi"))
         found = front.count()
         if not found:
             break
         n += found
-        seen = cut(seen.union(front.withColumn("level", F.lit(level))))
-    return seen.orderBy("level", "url").limit(max_pages)
+        seen.add(front.withColumn("level", F.lit(level)))
+    return seen.rows() if max_pages is None else seen.rows().orderBy("level", "url").limit(max_pages)
 
 
 def robots_of(hosts: DataFrame, files: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def robots_of(hosts: DataFrame, files: DataFrame) -> DataFrame:
     return hosts.select("host").distinct().join(files.select("host", "content"), "host", "left")
 
 
-def crawl_site(pages: DataFrame, files: DataFrame, seed: str, max_pages: int = 1000) -> DataFrame:
+def crawl_site(pages: DataFrame, files: DataFrame, seed: str, max_pages: int | None = 1000) -> DataFrame:
     """Crawl rows (Url, OutLinks, level) of one host over stored pages(url, html, and if known status, content_type) and robots files(host, content).
 
     A page counts if its status is 2xx (or unknown), its content type has text/html (or is unknown) and it has content; a url is fetched if the robots
