@@ -6,8 +6,8 @@ import uuid
 import numpy as np
 import pytest
 
-from webloom import packed
-from webloom.operators import robustness
+from webloom import packed, service
+from webloom.operators import pagerank, robustness
 
 from .test_graph import graph, rows
 
@@ -103,3 +103,44 @@ def test_null_or_large_graphs_take_the_joins(spark, monkeypatch):
     assert packed.of(type(g)(g.vertices, holes)) is None
     monkeypatch.setattr(packed, "LIMIT", 4)
     assert packed.of(type(g)(g.vertices, g.edges)) is None
+
+
+def rank_by_definition(edges, d, norm, epsilon, most):
+    ids = sorted({x for e in edges for x in e})
+    outs = {v: [b for a, b in edges if a == v] for v in ids}
+    x, trace = dict.fromkeys(ids, 1 / len(ids)), []
+    while len(trace) < most:
+        loose = sum(x[v] for v in ids if not outs[v])
+        new = {v: (1 - d + d * loose) / len(ids) for v in ids}
+        for v in ids:
+            for b in outs[v]:
+                new[b] += d * x[v] / len(outs[v])
+        step = [abs(new[v] - x[v]) for v in ids]
+        x = new
+        trace.append((sum(step), sum(s * s for s in step) ** 0.5, max(step)))
+        if trace[-1][("l1", "l2", "linf").index(norm)] < epsilon:
+            break
+    return x, trace
+
+
+@pytest.mark.parametrize("limit,norm", [(packed.LIMIT, "l1"), (packed.LIMIT, "linf"), (-1, "l1")])
+def test_rank_by_definition(spark, limit, norm, monkeypatch):
+    monkeypatch.setattr(packed, "LIMIT", limit)
+    edges = some_edges(20, 40, 7) + [(1000, 1002), (1002, 1000)]
+    run = pagerank.pagerank(graph(spark, edges), (1.0, 0.85, 0.5), norm, 1e-3, 9)
+    assert [t[:2] for t in run.trace] == sorted((t[:2] for t in run.trace), key=lambda t: (t[1], -t[0]))
+    for d in (1.0, 0.85, 0.5):
+        x, trace = rank_by_definition(edges, d, norm, 1e-3, 9)
+        one = pagerank.only(run, d)
+        assert [(i, round(a, 12)) for i, a in rows(one.scores.select("id", "score"))] == [(i, round(a, 12)) for i, a in sorted(x.items())]
+        assert [(t[1], *[round(a, 12) for a in t[2:]]) for t in one.trace] == [(i, *[round(a, 12) for a in t]) for i, t in enumerate(trace, 1)]
+
+
+def test_rank_analysis_takes_no_jobs_a_step(spark):
+    # two weights that swap, so that d = 1.0 goes on to the last step
+    g = graph(spark, [(0, 1), (0, 2), (1, 0), (2, 0)])
+    many, jobs = jobs_of(spark, lambda: pagerank.pagerank(g, pagerank.DAMPINGS, max_iter=None))
+    assert sum(t[0] == 1.0 for t in many.trace) == pagerank.ENDLESS and jobs < 20
+    g.kept["sweep"] = many
+    parts, more = jobs_of(spark, lambda: {k: rows(v) for k, v in service.page_rank_analysis(g, 2).items()})
+    assert parts["report"][0] == ("iterations", None, float(sum(t[0] == 0.85 for t in many.trace))) and more < 100

@@ -2,6 +2,8 @@
 
 The norm only says when to stop, so one run per damping factor serves every norm.  Without max_iter a factor d < 1 runs to convergence, which
 takes log(epsilon / 2) / log(d) steps at most; d = 1.0 need not converge (periodic graphs) and ends after ENDLESS steps.
+
+A graph that fits in a task (webloom.packed) is stepped there, a task for each factor; a larger one by a join and an aggregate a step.
 """
 
 from __future__ import annotations
@@ -10,11 +12,14 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import packed
 from ..model import Graph, cut, numbered
 
 #: Damping factors of the sweep, and the tolerance.
@@ -62,6 +67,10 @@ def pagerank(graph: Graph, dampings=(0.85,), norm: str = "l1", epsilon: float =
     n = graph.vertices.count()
     if not n:
         return Run(spark.createDataFrame([], "d double, id long, score double"), [])
+    limits = [steps_to_run(float(d), epsilon) if max_iter is None else max_iter for d in dampings]
+    shared = packed.of(graph)
+    if shared is not None:
+        return _in_tasks(spark, shared, [float(d) for d in dampings], limits, norm, epsilon)
     degree = graph.degrees.select("id", "out_deg")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = cut(graph.edges.join(degree.withColumnRenamed("id", "src"), "src").select("src", "dst", (1.0 / F.col("out_deg")).alias("w")))
@@ -71,7 +80,7 @@ def pagerank(graph: Graph, dampings=(0.85,), norm: str = "l1", epsilon: float =
     x = base.select("id", "dangling", *[F.lit(1.0 / n).alias(c) for c in running])
     loose = dict.fromkeys(running, base.filter("dangling").count() / n)
     done, trace, i = [], [], 0
-    last = {c: steps_to_run(d, epsilon) if max_iter is None else max_iter for c, d in running.items()}
+    last = dict(zip(running, limits, strict=True))
     while running and i < max(last[c] for c in running):
         i += 1
         got = links.join(x.select(F.col("id").alias("src"), *running), "src").groupBy(F.col("dst").alias("id")).agg(*[F.sum(F.col(c) * F.col("w")).alias(f"got_{c}") for c in running])
@@ -91,6 +100,52 @@ def pagerank(graph: Graph, dampings=(0.85,), norm: str = "l1", epsilon: float =
     return Run(reduce(DataFrame.union, done), trace)
 
 
+#: Rows of a batch of scores.
+_ROWS = 1 << 16
+_RANKS = "factor int, d double, iter int, l1 double, l2 double, linf double, id long, score double"
+
+
+def _in_tasks(spark, shared: Broadcast, dampings: list[float], limits: list[int], norm: str, epsilon: float) -> Run:
+    """pagerank() with the graph in every task: a factor's trace and last scores come from one task."""
+    if not dampings:
+        return Run(spark.createDataFrame([], "d double, id long, score double"), [])
+    table = cut(spark.range(0, len(dampings), 1, len(dampings)).mapInArrow(_steps(shared, dampings, limits, norm, epsilon), _RANKS))
+    trace = table.filter("iter is not null").select("iter", "factor", "d", "l1", "l2", "linf").collect()
+    return Run(table.filter("iter is null").select("d", "id", "score"), [(r.d, r.iter, r.l1, r.l2, r.linf) for r in sorted(trace)])
+
+
+def _steps(shared: Broadcast, dampings: list[float], limits: list[int], norm: str, epsilon: float):
+    schema = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[kind]) for n, kind in (x.split() for x in _RANKS.split(", "))])
+
+    def run(batches):
+        g = shared.value
+        n, src, dst = len(g.ids), g.src.astype(np.int64), g.dst.astype(np.int64)
+        weight, loose = 1.0 / np.maximum(g.out, 1), g.out == 0
+        for factor in (i for b in batches for i in b.column(0).to_pylist()):
+            d, x, trace = dampings[factor], np.full(n, 1.0 / n), []
+            while len(trace) < limits[factor]:
+                new = (1 - d) / n + d * x[loose].sum() / n + d * np.bincount(dst, (x * weight)[src], n)
+                step = np.abs(new - x)
+                x = new
+                trace.append((step.sum(), np.sqrt((step * step).sum()), step.max()))
+                if trace[-1][list(NORMS).index(norm)] < epsilon:
+                    break
+            rows = [{"factor": factor, "d": d, "iter": i, "l1": float(a), "l2": float(b), "linf": float(c)} for i, (a, b, c) in enumerate(trace, 1)]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+            for at in range(0, n, _ROWS):
+                ids = g.ids[at : at + _ROWS]
+                fixed = [pa.repeat(pa.scalar(v, kind), len(ids)) for v, kind in ((factor, pa.int32()), (d, pa.float64()))]
+                empty = [pa.nulls(len(ids), schema.field(c).type) for c in ("iter", "l1", "l2", "linf")]
+                yield pa.RecordBatch.from_arrays([*fixed, *empty, pa.array(ids), pa.array(x[at : at + _ROWS])], schema=schema)
+
+    return run
+
+
+def only(run: Run, d: float) -> Run:
+    """One factor of a run of several."""
+    return Run(run.scores.filter(F.col("d") == d), [t for t in run.trace if t[0] == d])
+
+
 def trace_frame(spark, run: Run) -> DataFrame:
     return spark.createDataFrame(run.trace, "d double, iter int, l1 double, l2 double, linf double")
 
@@ -117,4 +172,8 @@ def ranked(scores: DataFrame) -> DataFrame:
 
 def rank_fit(scores: DataFrame) -> DataFrame:
     """Line through log10(score) by log10(rank) of positive scores."""
-    return ranked(scores).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+    return fit(ranked(scores))
+
+
+def fit(points: DataFrame) -> DataFrame:
+    return points.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))

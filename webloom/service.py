@@ -93,12 +93,13 @@ def page_rank_analysis(graph: Graph, top: int = 20) -> dict[str, DataFrame]:
     """
     spark = graph.vertices.sparkSession
     many = graph.kept.get("sweep") or pagerank.pagerank(graph, pagerank.DAMPINGS, "l1", max_iter=None)
-    one = graph.kept.get("rank") or pagerank.pagerank(graph, (0.85,), "l1", max_iter=None)
+    one = graph.kept.get("rank") or (pagerank.only(many, 0.85) if 0.85 in pagerank.DAMPINGS else pagerank.pagerank(graph, (0.85,), "l1", max_iter=None))
     graph.kept |= {"sweep": many, "rank": one}
     steps, trace = pagerank.sweep(spark, many), pagerank.trace_frame(spark, one).selectExpr("iter", "stack(3, 'l1', l1, 'l2', l2, 'linf', linf) as (norm, err)")
     stops = pagerank.sweep(spark, one).select("norm", "iterations")
     errors = trace.join(stops, "norm").filter("iter <= iterations")
-    points, fit, best = pagerank.ranked(one.scores), pagerank.rank_fit(one.scores), pagerank.top(one.scores, graph.vertices, top)
+    points = pagerank.ranked(one.scores)
+    fit, best = pagerank.fit(points), pagerank.top(one.scores, graph.vertices, top)
     ends = points.agg(F.min("x").alias("a"), F.max("x").alias("b")).select(F.explode(F.array("a", "b")).alias("x"))
     return {
         "report": tidy(stops.filter("norm = 'l1'"), F.lit("iterations"), None, "iterations").unionByName(facts(fit, "slope", places=4)),
