@@ -144,3 +144,14 @@ def test_rank_analysis_takes_no_jobs_a_step(spark):
     g.kept["sweep"] = many
     parts, more = jobs_of(spark, lambda: {k: rows(v) for k, v in service.page_rank_analysis(g, 2).items()})
     assert parts["report"][0] == ("iterations", None, float(sum(t[0] == 0.85 for t in many.trace))) and more < 100
+
+
+def test_random_by_definition(spark, monkeypatch):
+    check_robustness(spark, "random", packed.LIMIT, monkeypatch)
+
+
+def test_random_on_a_chain_takes_no_jobs_a_round(spark):
+    g = graph(spark, [(i, i + 1) for i in range(60)])
+    got, jobs = jobs_of(spark, lambda: robustness.simulate(g, "random", (0.0,)).collect())
+    # L reached vertices are (L + 1) / 2 away on average, for L = 1 to 60
+    assert (got[0].largest_wcc, got[0].largest_scc, got[0].diameter, got[0].avg_distance) == (61, 1, 60, 15.75) and jobs < 60
