@@ -6,7 +6,7 @@ import uuid
 import numpy as np
 import pytest
 
-from webloom import packed, service
+from webloom import packed, series, service
 from webloom.operators import pagerank, robustness
 
 from .test_graph import graph, rows
@@ -155,3 +155,12 @@ def test_random_on_a_chain_takes_no_jobs_a_round(spark):
     got, jobs = jobs_of(spark, lambda: robustness.simulate(g, "random", (0.0,)).collect())
     # L reached vertices are (L + 1) / 2 away on average, for L = 1 to 60
     assert (got[0].largest_wcc, got[0].largest_scc, got[0].diameter, got[0].avg_distance) == (61, 1, 60, 15.75) and jobs < 60
+
+
+def test_robustness_analysis_reads_kept_rows(spark):
+    g = graph(spark, [(i, i + 1) for i in range(40)])
+    parts, jobs = jobs_of(spark, lambda: service.robustness_analysis(g))
+    assert jobs < 100
+    got, more = jobs_of(spark, lambda: rows(series.together(parts)))
+    assert len(got) == 22 * 7 and more < 30
+    assert all("MapInArrow" not in df._jdf.queryExecution().toString() for df in parts.values())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import urls
-from .model import Graph
+from .model import Graph, cut
 from .operators import clustering, components, connectivity, pagerank, paths, robustness, stats
 from .series import facts, line, tidy
 
@@ -119,7 +119,7 @@ def robustness_analysis(graph: Graph) -> dict[str, DataFrame]:
     """By fraction removed: component sizes and shares, distances and degrees, for both strategies."""
     out = {}
     for strategy in ("random", "attack"):
-        rows = graph.once(f"robustness-{strategy}", lambda strategy=strategy: robustness.simulate(graph, strategy))
+        rows = graph.once(f"robustness-{strategy}", lambda strategy=strategy: cut(robustness.simulate(graph, strategy)))
         for column in ("removed", "largest_wcc", "largest_scc", "rel_wcc", "rel_scc", "avg_distance", "diameter", "avg_in", "max_in", "avg_out", "max_out"):
             out[f"{strategy}_{column}"] = tidy(rows, F.lit(strategy), "fraction", column)
     return out
